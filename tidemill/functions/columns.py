@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -33,6 +33,11 @@ def stable_round(x: Column, digits: int = 6) -> Column:
     return F.floor(x * dbl(scale) + dbl(0.50003141)) / dbl(scale)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ladder(x: Column, steps: Sequence[tuple[float, str]], otherwise: str) -> Column:
     """First label whose threshold ``x`` exceeds; thresholds are given from high to low."""
     out = None

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemill.functions.columns import dbl, polynomial
+from tidemill.functions.columns import dbl, let, polynomial
 
 # West's rational approximation, highest power first.
 WEST_NUM = (
@@ -51,30 +51,37 @@ TAIL_DEN = (
 
 
 def normal_cdf(z: Column) -> Column:
-    x = F.abs(z)
-    e = F.exp(-x * x / dbl(2.0))
-    near = e * polynomial(x, WEST_NUM) / polynomial(x, WEST_DEN)
-    b = x + dbl(0.65)
-    for k in (4.0, 3.0, 2.0, 1.0):
-        b = x + dbl(k) / b
-    far = e / b / dbl(2.506628274631)
-    tail = F.when(x > dbl(37.0), dbl(0.0)).when(x < dbl(7.07106781186547), near).otherwise(far)
-    return F.when(z > dbl(0.0), dbl(1.0) - tail).otherwise(tail)
+    def value(z: Column) -> Column:
+        x = F.abs(z)
+        e = F.exp(-x * x / dbl(2.0))
+        near = e * polynomial(x, WEST_NUM) / polynomial(x, WEST_DEN)
+        b = x + dbl(0.65)
+        for k in (4.0, 3.0, 2.0, 1.0):
+            b = x + dbl(k) / b
+        far = e / b / dbl(2.506628274631)
+        tail = F.when(x > dbl(37.0), dbl(0.0)).when(x < dbl(7.07106781186547), near).otherwise(far)
+        return F.when(z > dbl(0.0), dbl(1.0) - tail).otherwise(tail)
+
+    return let(z, value)
 
 
 def normal_ppf(p: Column) -> Column:
     """Standard normal quantile; null outside (0, 1)."""
-    q = p - dbl(0.5)
-    rc = dbl(0.180625) - q * q
-    centre = q * polynomial(rc, CENTRE_NUM) / polynomial(rc, CENTRE_DEN)
-    r = F.sqrt(-F.log(F.when(q <= dbl(0.0), p).otherwise(dbl(1.0) - p)))
-    rm, rt = r - dbl(1.6), r - dbl(5.0)
-    side = F.when(
-        r <= dbl(5.0), polynomial(rm, MIDDLE_NUM) / polynomial(rm, MIDDLE_DEN)
-    ).otherwise(polynomial(rt, TAIL_NUM) / polynomial(rt, TAIL_DEN))
-    outer = F.when(q < dbl(0.0), -side).otherwise(side)
-    value = F.when(F.abs(q) <= dbl(0.425), centre).otherwise(outer)
-    return F.when((p > dbl(0.0)) & (p < dbl(1.0)), value)
+
+    def outer(r: Column) -> Column:
+        rm, rt = r - dbl(1.6), r - dbl(5.0)
+        return F.when(r <= dbl(5.0), polynomial(rm, MIDDLE_NUM) / polynomial(rm, MIDDLE_DEN)).otherwise(
+            polynomial(rt, TAIL_NUM) / polynomial(rt, TAIL_DEN)
+        )
+
+    def value(p: Column) -> Column:
+        q = p - dbl(0.5)
+        rc = dbl(0.180625) - q * q
+        centre = q * polynomial(rc, CENTRE_NUM) / polynomial(rc, CENTRE_DEN)
+        side = let(F.sqrt(-F.log(F.when(q <= dbl(0.0), p).otherwise(dbl(1.0) - p))), outer)
+        return F.when(F.abs(q) <= dbl(0.425), centre).when(q < dbl(0.0), -side).otherwise(side)
+
+    return F.when((p > dbl(0.0)) & (p < dbl(1.0)), let(p, value))
 
 
 def chi2_tail_even(x: Column, dof: int) -> Column:

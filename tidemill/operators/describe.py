@@ -194,20 +194,23 @@ def shapiro_wilk(df: DataFrame, spec: SeriesSpec, order: str | None = None, limi
     )
     w = F.least(div(F.col("_b") * F.col("_b"), F.col("_ss")), dbl(1.0))
     stats = stats.withColumn("w", F.when(F.col("n") >= 3, w)).drop("_b", "_ss")
+    # one step per column: nested, these expressions would be evaluated many times over
     n, w = F.col("n").cast("double"), F.col("w")
-    miss, size = F.log(dbl(1.0) - w), F.log(n)
+    stats = stats.withColumns({"_miss": F.log(dbl(1.0) - w), "_size": F.log(n)})
+    miss, size = F.col("_miss"), F.col("_size")
     gamma = dbl(-2.273) + dbl(0.459) * n
     small_z = (-F.log(gamma - miss) - polynomial(n, SW_SMALL_MEAN[::-1])) / F.exp(polynomial(n, SW_SMALL_STD[::-1]))
     large_z = (miss - polynomial(size, SW_LARGE_MEAN[::-1])) / F.exp(polynomial(size, SW_LARGE_STD[::-1]))
+    stats = stats.withColumn("_z", F.when(n <= 11, small_z).otherwise(large_z))
     three = F.greatest(dbl(1.90985931710274) * (F.asin(F.sqrt(w)) - dbl(1.0471975511966)), dbl(0.0))
     p = (
         F.when(n == 3, three)
         .when(w >= 1.0, dbl(1.0))
         .when((n <= 11) & (miss >= gamma), dbl(0.0))
-        .when(n <= 11, dbl(1.0) - normal_cdf(small_z))
-        .otherwise(dbl(1.0) - normal_cdf(large_z))
+        .otherwise(dbl(1.0) - normal_cdf(F.col("_z")))
     )
-    return stats.withColumn("p_value", p).withColumn("is_normal", F.col("p_value") > 0.05)
+    stats = stats.withColumn("p_value", p).drop("_miss", "_size", "_z")
+    return stats.withColumn("is_normal", F.col("p_value") > 0.05)
 
 
 def histogram_density(df: DataFrame, spec: SeriesSpec, bins: int = 30) -> DataFrame:

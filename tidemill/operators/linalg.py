@@ -7,27 +7,31 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.functions.columns import dbl, let
+
 VECTOR = T.ArrayType(T.DoubleType())
 
 
-def pairs(k: int) -> list[tuple[int, int]]:
-    return [(a, b) for a in range(k) for b in range(a, k)]
+def gram(columns: Sequence[Column], where: Column) -> Column:
+    """Aggregate: upper triangle of the cross-products of ``columns``, summed over the rows in ``where``.
 
+    Put the target last. One vector sum per key instead of k(k+1)/2 scalar sums
+    keeps the generated code small whatever the number of columns.
+    """
+    k = len(columns)
+    usable = F.coalesce(where, F.lit(False))
+    row = F.array(*[F.when(usable, F.coalesce(c, dbl(0.0))).otherwise(dbl(0.0)) for c in columns])
 
-def gram(columns: Sequence[Column], where: Column | None = None) -> Column:
-    """Aggregate: upper triangle of the cross-products of ``columns`` as one array.
+    def triangle(xs: Column) -> Column:
+        return F.flatten(F.transform(xs, lambda a, i: F.transform(F.slice(xs, i + 1, k), lambda b: a * b)))
 
-    Put the target last. Rows outside ``where`` do not count.
-    """
-    sums = []
-    for a, b in pairs(len(columns)):
-        product = columns[a] * columns[b]
-        sums.append(F.sum(product if where is None else F.when(where, product)))
-    return F.array(*sums)
+    return vector_to_array(Summarizer.sum(array_to_vector(let(row, triangle))))
 
 
 def unpack(flat: np.ndarray, k: int) -> np.ndarray:
