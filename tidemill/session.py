@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="tidemill-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """New folder for a written intermediate table, in the shared folder the cluster names.
+
+    As for checkpoints, only a local session without that setting gets a temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="tidemill-scratch-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
