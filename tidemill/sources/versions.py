@@ -1,11 +1,12 @@
-"""Versioned datasets: data partitioned by version, and a registry row written last,
+"""Versioned datasets: one folder of rows per version, and a registry row written last,
 so readers never see a version that is only partly there."""
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,40 +22,43 @@ REGISTRY = T.StructType(
         T.StructField("end_date", T.StringType()),
         T.StructField("record_count", T.LongType()),
         T.StructField("source", T.StringType()),
+        T.StructField("batch", T.StringType()),
     ]
 )
 
 
-def content_hash(df: DataFrame) -> DataFrame:
-    """One row: eight hex digits that do not depend on row order, and the row count."""
+def content_hash(df: DataFrame, *extra: Column) -> DataFrame:
+    """One row: eight hex digits that do not depend on row order, the row count, and extra aggregates."""
     mixed = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    rows = df.select(mixed.alias("_h"))
     # xor alone would cancel equal rows out; the sum of half-width parts keeps them apart
-    both = F.concat_ws("-", F.bit_xor("_h"), F.sum(F.shiftrightunsigned("_h", 32)), F.count(F.lit(1)))
-    return rows.agg(F.substring(F.md5(both), 1, 8).alias("hash"), F.count(F.lit(1)).alias("record_count"))
+    both = F.concat_ws("-", F.bit_xor(mixed), F.sum(F.shiftrightunsigned(mixed, 32)), F.count(F.lit(1)))
+    return df.agg(F.substring(F.md5(both), 1, 8).alias("hash"), F.count(F.lit(1)).alias("record_count"), *extra)
 
 
 def save_version(
     df: DataFrame, root: str, spec: SeriesSpec, source: str, created_at: datetime, csv_copy: bool = True
 ) -> str:
-    """Writes the rows and then the registry entry; returns the version name (time and content hash)."""
+    """Writes the rows once, then the registry entry; returns the version name (time and content hash).
+
+    Hash, span and CSV copy come from the rows as written, so whatever ``df`` is
+    computed from is read a single time. A batch without registry entry (a failed
+    save) is never read.
+    """
     require(df, spec.time)
-    span = df.agg(
+    spark = df.sparkSession
+    batch = uuid.uuid4().hex
+    df.write.parquet(f"{root}/rows/batch={batch}")
+    kept = spark.read.parquet(f"{root}/rows/batch={batch}")
+    facts = content_hash(
+        kept,
         F.date_format(F.min(spec.time), "yyyy-MM-dd").alias("start_date"),
         F.date_format(F.max(spec.time), "yyyy-MM-dd").alias("end_date"),
-    )
-    facts = content_hash(df).crossJoin(span).first()
+    ).first()
     version = f"{created_at:%Y%m%d_%H%M%S}_{facts.hash}"
-    data = df.withColumn("dataset_version", F.lit(version))
-    # dynamic overwrite replaces only this version's folder, so a retried save adds nothing twice
-    (
-        data.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset_version").parquet(f"{root}/rows")
-    )
     if csv_copy:
-        df.write.mode("overwrite").option("header", True).csv(f"{root}/csv/{version}")
-    entry = [(version, facts.hash, created_at, facts.start_date, facts.end_date, facts.record_count, source)]
-    df.sparkSession.createDataFrame(entry, REGISTRY).coalesce(1).write.mode("append").parquet(f"{root}/registry")
+        kept.write.mode("overwrite").option("header", True).csv(f"{root}/csv/{version}")
+    entry = [(version, facts.hash, created_at, facts.start_date, facts.end_date, facts.record_count, source, batch)]
+    spark.createDataFrame(entry, REGISTRY).coalesce(1).write.mode("append").parquet(f"{root}/registry")
     return version
 
 
@@ -68,13 +72,12 @@ def load_latest_version(spark: SparkSession, root: str, spec: SeriesSpec) -> Dat
     """Rows of the newest version in time order.
 
     The version is looked up first (one registry row), which turns the read into
-    a single partition folder of the data.
+    a single folder of the data.
     """
     newest = version_info(spark, root).first()
     if newest is None:
         raise LookupError(f"no version in {root}")
-    rows = spark.read.parquet(f"{root}/rows").where(F.col("dataset_version") == newest.version)
-    return rows.drop("dataset_version").orderBy(*spec.ids)
+    return spark.read.parquet(f"{root}/rows/batch={newest.batch}").orderBy(*spec.ids)
 
 
 def save_anomalies(anomalies: DataFrame, root: str, version: str) -> None:
