@@ -177,17 +177,17 @@ def shapiro_wilk(df: DataFrame, spec: SeriesSpec, order: str | None = None, limi
     u, root = dbl(1.0) / F.sqrt(n), F.sqrt("_mm")
     top = normal_ppf((n - dbl(0.375)) / (n + dbl(0.25)))
     second = normal_ppf((n - dbl(1.375)) / (n + dbl(0.25)))
-    a1 = top / root + polynomial(u, SW_LAST[::-1])
-    a2 = second / root + polynomial(u, SW_SECOND[::-1])
+    a1 = div(top, root) + polynomial(u, SW_LAST[::-1])
+    a2 = div(second, root) + polynomial(u, SW_SECOND[::-1])
     rows = rows.withColumns({"_a1": F.when(n == 3, dbl(0.5**0.5)).otherwise(a1), "_a2": a2, "_m1": top, "_m2": second})
     sq = {c: F.col(c) * F.col(c) for c in ("_a1", "_a2", "_m1", "_m2")}
     two = dbl(2.0)
     phi = F.when(
         n > 5,
-        (F.col("_mm") - two * sq["_m1"] - two * sq["_m2"]) / (dbl(1.0) - two * sq["_a1"] - two * sq["_a2"]),
+        div(F.col("_mm") - two * sq["_m1"] - two * sq["_m2"], dbl(1.0) - two * sq["_a1"] - two * sq["_a2"]),
     ).otherwise(div(F.col("_mm") - two * sq["_m1"], dbl(1.0) - two * sq["_a1"]))
     edge = F.least(F.col("_k"), F.col("_n") + 1 - F.col("_k"))
-    size = F.when(edge == 1, F.col("_a1")).when((edge == 2) & (n > 5), F.col("_a2")).otherwise(F.abs("_m") / F.sqrt(phi))
+    size = F.when(edge == 1, F.col("_a1")).when((edge == 2) & (n > 5), F.col("_a2")).otherwise(div(F.abs("_m"), F.sqrt(phi)))
     weight = F.when(F.col("_k") * 2 == F.col("_n") + 1, dbl(0.0)).otherwise(F.signum("_m") * size)
     stats = rows.withColumn("_w", weight).groupBy(*spec.keys).agg(
         F.sum(F.col("_w") * spec.y).alias("_b"), (F.var_pop(spec.y) * F.count(spec.y)).alias("_ss"), F.max("_n").alias("n")
@@ -392,7 +392,7 @@ def _pattern(df: DataFrame, spec: SeriesSpec, part: Column, name: str) -> DataFr
         F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.count(y).alias("count"),
         F.min(y).alias("min"), F.max(y).alias("max"), F.sum(y).alias("_sum"),
     )
-    overall = F.sum("_sum").over(whole) / F.sum("count").over(whole)
+    overall = div(F.sum("_sum").over(whole), F.sum("count").over(whole))
     out = by_part.withColumn("overall_mean", overall).drop("_sum")
     out = out.withColumn("seasonal_factor", div(F.col("mean"), F.col("overall_mean")))
     return out.withColumn("is_peak", F.col("seasonal_factor") > 1.1).withColumn("is_low", F.col("seasonal_factor") < 0.9)
@@ -405,7 +405,7 @@ def seasonal_strength(df: DataFrame, spec: SeriesSpec) -> DataFrame:
         F.avg(y).alias("_mean"), F.count(y).alias("_n"), (F.var_pop(y) * F.count(y)).alias("_within")
     )
     # total sum of squares = within months + between months around the grand mean
-    grand = F.sum(F.col("_mean") * F.col("_n")).over(spec.whole()) / F.sum("_n").over(spec.whole())
+    grand = div(F.sum(F.col("_mean") * F.col("_n")).over(spec.whole()), F.sum("_n").over(spec.whole()).cast("double"))
     months = months.withColumn("_d", F.col("_mean") - grand)
     total = F.sum(F.col("_within") + F.col("_n") * F.col("_d") * F.col("_d"))
     out = months.groupBy(*spec.keys).agg(

@@ -97,7 +97,7 @@ def heteroscedasticity(predictions: DataFrame, spec: SeriesSpec) -> DataFrame:
         F.corr(x, F.col("_e2")).alias("correlation"), F.corr(x, F.col("_rank")).alias("rho"), F.count(F.lit(1)).alias("_n")
     )
     rho, dof = F.col("rho"), F.col("_n") - 2
-    t = rho * F.sqrt(dof.cast("double") / ((dbl(1.0) - rho) * (dbl(1.0) + rho)))
+    t = rho * F.sqrt(div(dof.cast("double"), (dbl(1.0) - rho) * (dbl(1.0) + rho)))
     out = out.withColumn("rho_p_value", student_two_sided(t, dof)).drop("_n")
     big = F.abs("correlation") > 0.3
     return out.withColumns(

@@ -43,7 +43,7 @@ def moving_average_path(recent: Column, horizon: int) -> Column:
 
     def extend(acc, _):
         tail = acc["tail"]
-        mean = F.aggregate(tail, dbl(0.0), lambda s, v: s + v) / F.size(tail).cast("double")
+        mean = div(F.aggregate(tail, dbl(0.0), lambda s, v: s + v), F.size(tail).cast("double"))
         return F.struct(
             F.concat(F.slice(tail, F.lit(2), F.size(tail)), F.array(mean)).alias("tail"),
             F.concat(acc["path"], F.array(mean)).alias("path"),

@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.columns import dbl, div
+from tidemill.functions.columns import dbl, div, let
 from tidemill.operators.describe import at_age, with_index
 from tidemill.operators.forecast import long_forecast
 from tidemill.session import cut_lineage
@@ -29,16 +29,13 @@ def past_features(past: Column, t: Column, i: Column) -> dict[str, Column]:
     """Leak-free features from the previous 13 values (newest first), the time and the row index."""
     out: dict[str, Column] = {f"lag_{k}": past[k - 1] for k in LAGS}
     for w in WINDOWS:
-        values = [past[k] for k in range(w)]
-        mean = sum(values[1:], values[0]) / dbl(float(w))
-        spread = [(v - mean) * (v - mean) for v in values]
-        ordered = F.array_sort(F.slice(past, 1, w))
-        middle = ordered[w // 2] if w % 2 else (ordered[w // 2 - 1] + ordered[w // 2]) / dbl(2.0)
+        recent = F.slice(past, 1, w)
+        mean = F.aggregate(recent, dbl(0.0), lambda a, v: a + v) / dbl(float(w))
         out[f"rolling_mean_{w}"] = mean
-        out[f"rolling_std_{w}"] = F.sqrt(sum(spread[1:], spread[0]) / dbl(float(w - 1)))
-        out[f"rolling_min_{w}"] = F.least(*values)
-        out[f"rolling_max_{w}"] = F.greatest(*values)
-        out[f"rolling_median_{w}"] = middle
+        out[f"rolling_std_{w}"] = let(mean, _spread(recent, w))
+        out[f"rolling_min_{w}"] = F.array_min(recent)
+        out[f"rolling_max_{w}"] = F.array_max(recent)
+        out[f"rolling_median_{w}"] = let(F.array_sort(recent), _middle(w))
     month = F.month(t)
     angle = dbl(2.0 * math.pi / 12.0) * month
     out["mom_growth_lag1"] = F.coalesce(div(past[0] - past[1], past[1]), dbl(0.0))
@@ -53,12 +50,24 @@ def past_features(past: Column, t: Column, i: Column) -> dict[str, Column]:
     return out
 
 
+def _spread(values: Column, w: int):
+    """Sample standard deviation of ``values`` around a given mean."""
+    return lambda m: F.sqrt(F.aggregate(values, dbl(0.0), lambda a, v: a + (v - m) * (v - m)) / dbl(float(w - 1)))
+
+
+def _middle(w: int):
+    return lambda s: s[w // 2] if w % 2 else (s[w // 2 - 1] + s[w // 2]) / dbl(2.0)
+
+
 def feature_names() -> list[str]:
     return list(past_features(F.array(), F.current_date(), F.lit(0)))
 
 
 def _vector(past: Column, t: Column, i: Column) -> Column:
-    return array_to_vector(F.array(*[c.cast("double") for c in past_features(past, t, i).values()]))
+    def build(p: Column) -> Column:
+        return F.array(*[c.cast("double") for c in past_features(p, t, i).values()])
+
+    return array_to_vector(let(past, build))
 
 
 def model_rows(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -89,14 +98,22 @@ def fit_ridge(train: DataFrame, alpha: float = 1.0):
     return LinearRegression(solver="normal", elasticNetParam=0.0, standardization=True, regParam=penalty).fit(train)
 
 
+def _few_partitions(train: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """Small training tables in as few tasks as they need: boosting runs hundreds of short jobs."""
+    wanted = max(1, math.ceil(train.count() / rows_per_task))
+    # a fixed row order makes the seeded row samples repeatable
+    order = [c for c in train.columns if c != "features"]
+    return train.coalesce(wanted).sortWithinPartitions(*order)
+
+
 def fit_gbt(train: DataFrame, trees: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42):
     return GBTRegressor(
         maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed
-    ).fit(train)
+    ).fit(_few_partitions(train))
 
 
 def fit_random_forest(train: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42):
-    return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(train)
+    return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(_few_partitions(train))
 
 
 def predict(model, rows: DataFrame, spec: SeriesSpec, name: str) -> DataFrame:
@@ -120,29 +137,26 @@ def tree_importance(model, spark, name: str) -> DataFrame:
 
 
 def forecast_recursive(
-    model, df: DataFrame, spec: SeriesSpec, horizon: int = 12, name: str = "ridge", cut_every: int = 4
+    model, df: DataFrame, spec: SeriesSpec, horizon: int = 12, name: str = "ridge", cut_every: int = 3
 ) -> DataFrame:
-    """Feeds each prediction back as newest value. State per key: 13 values, last time, row count."""
+    """Feeds each prediction back as newest value. State per key: recent values newest first, last time, row count."""
     state = with_index(df, spec).where(F.col("age") <= REACH).groupBy(*spec.keys).agg(
-        F.array_compact(F.array(*[at_age(spec.y, k) for k in range(1, REACH + 1)])).alias("_past"),
+        F.array_compact(F.array(*[at_age(spec.y, k) for k in range(1, REACH + 1)])).alias("_values"),
         F.max(spec.time).alias("last"),
         F.max("n").alias("_n"),
     )
-    state = state.where(F.size("_past") == REACH).withColumn("path", F.array().cast("array<double>"))
+    state = state.where(F.size("_values") == REACH)
     scorer = model.copy().setPredictionCol("_yhat")
     for h in range(1, horizon + 1):
         t = spec.shift(F.col("last"), h)
-        state = state.withColumn("features", _vector(F.col("_past"), t, F.col("_n") + (h - 1)))
+        state = state.withColumn("features", _vector(F.col("_values"), t, F.col("_n") + (h - 1)))
         state = scorer.transform(state)
-        state = state.select(
-            *spec.keys, "last", "_n",
-            F.concat(F.array("_yhat"), F.slice("_past", 1, REACH - 1)).alias("_past"),
-            F.concat("path", F.array("_yhat")).alias("path"),
-        )
+        state = state.select(*spec.keys, "last", "_n", F.concat(F.array("_yhat"), F.col("_values")).alias("_values"))
         # a growing chain of projections is planned again at every step
         if h % cut_every == 0 and h < horizon:
             state = cut_lineage(state)
-    return long_forecast(state, spec, name)
+    paths = state.withColumn("path", F.reverse(F.slice("_values", 1, horizon)))
+    return long_forecast(paths, spec, name)
 
 
 # -- permutation importance --------------------------------------------------

@@ -361,7 +361,7 @@ def data_quality(df: DataFrame, spec: SeriesSpec, seq: str | None = None) -> Dat
         F.coalesce(F.sum(F.when(y.isNull(), n)), F.lit(0)).alias("missing_values"),
         F.coalesce(F.sum(F.when(y <= 0, n)), F.lit(0)).alias("nonpositive_values"),
         F.sum(n - 1).alias("duplicate_values"),
-        (F.sum(y * n) / F.sum(F.when(y.isNotNull(), n))).alias("mean"),
+        div(F.sum(y * n), F.sum(F.when(y.isNotNull(), n)).cast("double")).alias("mean"),
         F.min(y).alias("min"),
         F.max(y).alias("max"),
         month_label(F.min("_start")).alias("start"),

@@ -26,7 +26,7 @@ def autocovariance(df: DataFrame, spec: SeriesSpec, nlags: int) -> DataFrame:
     rows = rows.withColumns(lagged)
     d, n = F.col("_d"), F.count(F.col("_d")).cast("double")
     sums = [F.sum(d * d)] + [F.coalesce(F.sum(d * F.col(c)), dbl(0.0)) for c in lagged]
-    return rows.groupBy(*spec.keys).agg(F.count("_d").alias("n"), F.array(*[s / n for s in sums]).alias("acov"))
+    return rows.groupBy(*spec.keys).agg(F.count("_d").alias("n"), F.array(*[div(s, n) for s in sums]).alias("acov"))
 
 
 def acf_arrays(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> DataFrame:
@@ -37,7 +37,7 @@ def acf_arrays(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> DataFrame:
 
 
 def band(n: Column) -> Column:
-    return dbl(1.96) / F.sqrt(n.cast("double"))
+    return div(dbl(1.96), F.sqrt(n.cast("double")))
 
 
 def _long(arrays: DataFrame, spec: SeriesSpec, name: str) -> DataFrame:
@@ -126,7 +126,7 @@ def ljung_box(df: DataFrame, spec: SeriesSpec, lags: int = 12) -> DataFrame:
     """Ljung-Box Q over an even number of lags; null for series shorter than that."""
     rows = acf_arrays(df, spec, lags)
     n = F.col("n").cast("double")
-    terms = [F.col("acf")[k] * F.col("acf")[k] / (n - dbl(float(k))) for k in range(1, lags + 1)]
+    terms = [div(F.col("acf")[k] * F.col("acf")[k], n - dbl(float(k))) for k in range(1, lags + 1)]
     q = n * (n + dbl(2.0)) * sum(terms[1:], terms[0])
     out = rows.select(*spec.keys, F.when(F.col("n") > lags, q).alias("lb_stat"))
     out = out.withColumn("lb_pvalue", chi2_tail_even(F.col("lb_stat"), lags))
@@ -166,10 +166,10 @@ def kpss_test(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     r, count = F.col("_r"), F.col("n")
     n = count.cast("double")
     cover = F.floor(F.pow(n, dbl(2.0 / 9.0)))
-    zero = F.struct(F.col("_s0").__truediv__(n).alias("s0"), dbl(0.0).alias("s1"))
+    zero = F.struct(div(F.col("_s0"), n).alias("s0"), dbl(0.0).alias("s1"))
 
     def widen(acc, k):
-        prod = _dot(r, count, k) / (n / dbl(2.0))
+        prod = div(_dot(r, count, k), n / dbl(2.0))
         return F.struct((acc["s0"] + prod).alias("s0"), (acc["s1"] + k.cast("double") * prod).alias("s1"))
 
     agg = agg.withColumn("_a", F.aggregate(F.sequence(F.lit(1).cast("bigint"), cover), zero, widen))
@@ -185,7 +185,7 @@ def kpss_test(df: DataFrame, spec: SeriesSpec) -> DataFrame:
         steps, F.col("_s0"),
         lambda acc, k: acc + dbl(2.0) * _dot(r, count, k) * (dbl(1.0) - k.cast("double") / (lags.cast("double") + dbl(1.0))),
     )
-    stat = div(F.col("_eta") / (n * n), bartlett / n)
+    stat = div(div(F.col("_eta"), n * n), div(bartlett, n))
     out = agg.select(*spec.keys, "n", stat.alias("kpss_stat"), "lags_used")
     p = _interpolate(F.col("kpss_stat"), KPSS_POINTS)
     out = out.withColumn("p_value", p).withColumn("is_stationary", F.col("p_value") > 0.05)
@@ -300,7 +300,7 @@ def adf_test(df: DataFrame, spec: SeriesSpec, lag_limit: int = 24) -> DataFrame:
     )
     out = out.withColumn("p_value", F.when(tau.isNotNull(), p))
     for name, c in ADF_CRITICAL.items():
-        out = out.withColumn(name, _powers(dbl(1.0) / size, c))
+        out = out.withColumn(name, _powers(div(dbl(1.0), size), c))
     out = out.withColumn("is_stationary", F.col("p_value") < 0.05)
     out = out.withColumn("conclusion", _stationary_word(F.col("is_stationary")))
     strength = (

@@ -372,7 +372,7 @@ def insight_recommendations(spark, folder):
 
 @query(
     "recommendations_by_priority",
-    f"""{ALL}, rr AS (SELECT fa.segment, COALESCE(yoy, 0) AS yoy, best_model, (nov / mean - 1) * 100 AS fb,
+    f"""{ALL}, rr AS (SELECT fa.segment, COALESCE(fa.yoy, 0) AS yoy, best_model, (nov / mean - 1) * 100 AS fb,
                AVG(d) FILTER (age <= 6) AS rd, AVG(d) FILTER (age > 6 AND age <= 12) AS ed
                FROM fa JOIN be USING (segment) JOIN fi USING (segment) JOIN (SELECT segment, v AS nov FROM mo WHERE m = 11) USING (segment) GROUP BY ALL)
         SELECT segment, 'high' AS priority, 'growth' AS category, 'Consider aggressive infrastructure scaling given explosive growth trajectory' AS recommendation FROM rr WHERE yoy > 50

@@ -31,8 +31,8 @@ def first_table_rows(pages: DataFrame, page_id: str = "page_id", html: str = "ht
     rows = with_table.select(page_id, F.posexplode(_all(first, ROW)).alias("_r", "_row")).where(F.col("_r") >= 1)
     rows = rows.select(page_id, F.col("_r").alias("row_no"), _cells(F.col("_row")).alias("_c")).where(F.size("_c") >= 3)
     out = rows.select(
-        page_id, "row_no", F.col("_c")[0].alias("month"),
-        parse_number(F.col("_c")[1]).alias("volume"), parse_number(F.col("_c")[2]).alias("value"),
+        page_id, "row_no", F.get("_c", F.lit(0)).alias("month"),
+        parse_number(F.get("_c", F.lit(1))).alias("volume"), parse_number(F.get("_c", F.lit(2))).alias("value"),
     )
     return out.where((F.col("month") != "") & F.col("volume").isNotNull())
 
