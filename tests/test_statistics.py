@@ -155,7 +155,7 @@ def test_severity_thresholds_are_strict(spark):
 def test_ewm_on_a_long_series_matches_the_recursion(spark, spec):
     y = ar_series(0.9, 600)
     df = make_series(spark, {"a": y}, 1950)
-    got = values_of(features.with_features(df, features.ewm_features(spec, [12])), "ema_12")["a"]
+    got = values_of(features.ewm_features(df, spec, [3, 12]), "ema_12")["a"]
     want, alpha = [y[0]], 2 / 13
     for v in y[1:-1]:
         want.append(alpha * v + (1 - alpha) * want[-1])

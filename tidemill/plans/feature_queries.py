@@ -101,7 +101,7 @@ def family(name: str, build, *groups: dict[str, str]) -> None:
 
     @query(name, f"{G} SELECT segment, date, {rs('y')}, {columns_sql(*groups)} FROM g")
     def run(spark, folder):
-        return ft.with_features(series(spark, folder), build(SEG))
+        return ft.with_features(series(spark, folder), SEG, build)
 
 
 family("lag_features", ft.lag_features, LAG_SQL)
@@ -148,7 +148,7 @@ EMA_SQL = {"ema_3": "e3", "ema_6": "e6", "ema_12": "e12"}
         FROM g JOIN ema ON g.segment = ema.segment AND g.i = ema.i""",
 )
 def ewm_features(spark, folder):
-    return ft.with_features(series(spark, folder), ft.ewm_features(SEG))
+    return ft.ewm_features(series(spark, folder), SEG)
 
 
 DECOMP_CTE = """,
@@ -247,7 +247,7 @@ def create_features_extended(spark, folder):
         || CAST(month(date) IN (10, 11, 12) AS INT) || ',"trend":' || i || '}}' AS features FROM g""",
 )
 def features_as_json(spark, folder):
-    base = ft.with_features(series(spark, folder), ft.calendar_parts(SEG), ft.event_flags(SEG), ft.trend_index(SEG))
+    base = ft.with_features(series(spark, folder), SEG, ft.calendar_parts, ft.event_flags, ft.trend_index)
     return ft.features_as_json(base, SEG, ["month", "quarter", "is_festive", "trend"])
 
 

@@ -326,6 +326,11 @@ def guard(fn: str, w: int, frame: str | None = None) -> str:
     return f"CASE WHEN COUNT(y) {over} = {w} THEN {fn} {over} END"
 
 
+def year_of_history(spec: SeriesSpec):
+    rolling = features.rolling_stats(spec, [12], median=False)
+    return {k: rolling[k] for k in ("rolling_mean_12", "rolling_std_12")}
+
+
 @query(
     "segment_overview",
     f"""WITH {tb.SEGMENT_GRID_SQL},
@@ -341,10 +346,7 @@ def guard(fn: str, w: int, frame: str | None = None) -> str:
                     WHEN z_score > 2 THEN 'low' ELSE 'normal' END AS severity FROM z""",
 )
 def segment_overview(spark, folder):
-    rolling = features.rolling_stats(SEG, [12], median=False)
     featured = features.with_features(
-        tb.segment_grid(spark, folder).drop("n"),
-        features.lag_features(SEG, [1, 12]),
-        {k: rolling[k] for k in ("rolling_mean_12", "rolling_std_12")},
+        tb.segment_grid(spark, folder).drop("n"), SEG, lambda spec: features.lag_features(spec, [1, 12]), year_of_history
     )
     return anomaly.zscore_pop(featured, SEG)
