@@ -80,6 +80,13 @@ def test_calendar_fill_and_missing_periods_agree(spark, spec):
     assert prepare.calendar_fill(rows, spec, "zero").where("y = 0").count() == 6
 
 
+def test_absurd_gap_fails_loudly(spark, spec):
+    rows = spark.createDataFrame([("a", month(0), 1.0), ("a", month(400), 1.0)], "key string, date date, y double")
+    assert prepare.calendar_fill(rows, spec).count() == 401
+    with pytest.raises(Exception, match="calendar gap of more than 100 steps after a 2020-01-01"):
+        prepare.calendar_fill(rows, spec, max_gap=100).collect()
+
+
 def test_hourly_and_daily_calendars(spark):
     hour = SeriesSpec(keys=("key",), freq="hour", period=24)
     rows = spark.createDataFrame(

@@ -79,19 +79,27 @@ def cleaning_report(raw: DataFrame, filled: DataFrame, spec: SeriesSpec) -> Data
 # -- calendar ----------------------------------------------------------------
 
 
-def calendar_fill(df: DataFrame, spec: SeriesSpec, fill: str = "null") -> DataFrame:
+MAX_GAP = 1_000_000
+
+
+def calendar_fill(df: DataFrame, spec: SeriesSpec, fill: str = "null", max_gap: int = MAX_GAP) -> DataFrame:
     """Complete calendar grid between the first and last row of each series.
 
     Each row emits itself and the steps up to its successor, so the grid needs
     one window (shared with later windows on the same keys) and no join.
     ``fill='zero'`` suits flow measures, where no row means nothing happened.
+    A gap of more than ``max_gap`` steps is a broken time value and fails the job
+    with its key, rather than filling a task with invented rows.
     """
     require(df, *spec.ids, spec.value)
     others = [c for c in df.columns if c not in spec.ids]
     until = F.coalesce(spec.shift(F.lead(spec.time).over(spec.ordered()), -1), spec.t)
+    gap = spec.steps_between(spec.t, F.col("_until"))
+    where = F.concat_ws(" ", *[F.col(c).cast("string") for c in spec.ids])
+    broken = F.raise_error(F.concat(F.lit(f"calendar gap of more than {max_gap} steps after "), where))
     grid = (
         df.withColumn("_until", until)
-        .withColumn("_step", F.explode(spec.calendar(spec.t, F.col("_until"))))
+        .withColumn("_step", F.explode(F.when(gap <= max_gap, spec.calendar(spec.t, F.col("_until"))).otherwise(broken)))
         .withColumn("is_gap", F.col("_step") != spec.t)
     )
     kept = []

@@ -80,6 +80,14 @@ class SeriesSpec:
             return F.date_add(t, n)
         return F.timestamp_add("HOUR", n, t)
 
+    def steps_between(self, start: Column, stop: Column) -> Column:
+        """Whole calendar steps from ``start`` to ``stop``."""
+        if self.freq == "month":
+            return (F.year(stop) - F.year(start)) * 12 + F.month(stop) - F.month(start)
+        if self.freq == "day":
+            return F.date_diff(stop, start)
+        return F.timestamp_diff("HOUR", start, stop)
+
     def calendar(self, start: Column, stop: Column) -> Column:
         """Array of every calendar step from ``start`` to ``stop``, both included."""
         step = {"month": "INTERVAL 1 MONTH", "day": "INTERVAL 1 DAY", "hour": "INTERVAL 1 HOUR"}[self.freq]

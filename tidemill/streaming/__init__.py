@@ -1,0 +1 @@
+"""No operators: the behaviour this library covers is batch only (see README)."""
