@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidemill.functions.columns import dbl, div, stable_round
 from tidemill.operators.describe import at_age, with_index
+from tidemill.operators.features import rolling_stats
 from tidemill.operators.linalg import VECTOR, as_lists, gram, least_squares, solve_batch, stack, unpack
 from tidemill.spec import SeriesSpec
 
@@ -65,11 +66,8 @@ def forecast_moving_average(
 
 def one_step_average(df: DataFrame, spec: SeriesSpec, windows: Sequence[int] = (3, 6, 12)) -> DataFrame:
     """In-sample one-step predictions of moving averages, long: keys, time, model, y, yhat."""
-    from tidemill.operators.features import rolling_stats
-
-    rolled = df
-    for w in windows:
-        rolled = rolled.withColumn(f"_ma{w}", rolling_stats(spec, [w], median=False)[f"rolling_mean_{w}"])
+    means = rolling_stats(spec, windows, median=False)
+    rolled = df.withColumns({f"_ma{w}": means[f"rolling_mean_{w}"] for w in windows})
     pairs = F.array(*[F.struct(F.lit(f"ma_{w}").alias("model"), F.col(f"_ma{w}").alias("yhat")) for w in windows])
     rows = rolled.select(*spec.ids, spec.y.alias("y"), F.explode(pairs).alias("_p"))
     return rows.select(*spec.ids, F.col("_p.model").alias("model"), "y", F.col("_p.yhat").alias("yhat")).where(

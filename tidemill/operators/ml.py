@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,9 +183,9 @@ def permutation_importance(
         return F.row_number().over(order)
 
     takers = runs.withColumn("_place", place("taker"))
-    givers = runs.select("repeat", "_block", place("giver").alias("_place"), vector_values("features").alias("_given"))
+    givers = runs.select("repeat", "_block", place("giver").alias("_place"), vector_to_array("features").alias("_given"))
     joined = takers.join(givers, ["repeat", "_block", "_place"])
-    joined = joined.withColumn("_own", vector_values("features"))
+    joined = joined.withColumn("_own", vector_to_array("features"))
     trials = joined.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
     mixed = F.transform("_own", lambda v, j: F.when(j == F.col("_f"), F.col("_given")[j]).otherwise(v))
     trials = trials.select("repeat", "_f", "label", array_to_vector(mixed).alias("features"))
@@ -201,9 +201,3 @@ def permutation_importance(
     by_feature = scored.groupBy("_f").agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("importance_std"))
     label = F.array(*[F.lit(n) for n in names])[F.col("_f")]
     return by_feature.select(label.alias("feature"), "importance", "importance_std")
-
-
-def vector_values(column: str) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(F.col(column))

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import anomaly, ensemble, evaluate, forecast, prepare
 from tidemill.plans import tables as tb
-from tidemill.plans.describe_queries import SHAPE_CTE  # noqa: F401
 from tidemill.plans.registry import query, r, rs
 from tidemill.plans.sqlmath import cdf
 
-SEG, NATION = tb.SEGMENT, tb.NATION
+SEG = tb.SEGMENT
 GREC = f"WITH RECURSIVE {tb.SEGMENT_GRID_SQL}"
 G = f"WITH {tb.SEGMENT_GRID_SQL}"
 WINDOWS = (3, 6, 12)

@@ -14,11 +14,8 @@ MILLION = 1e6
 
 SEGMENT = SeriesSpec(keys=("segment",))
 CUSTOMER = SeriesSpec(keys=("custkey",))
-NATION = SeriesSpec(keys=("nationkey",))
-SUPPLIER = SeriesSpec(keys=("suppkey",))
 LINE = SeriesSpec(keys=("returnflag", "linestatus"))
 EVENT_DAY = SeriesSpec(keys=("event_type",), freq="day", period=7)
-TOTAL = SeriesSpec()
 
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,14 +36,6 @@ def segment_grid(spark: SparkSession, folder: str) -> DataFrame:
     return impute_linear(calendar_fill(segment_series(spark, folder), SEGMENT), SEGMENT).drop("is_gap", "imputed")
 
 
-def nation_series(spark: SparkSession, folder: str) -> DataFrame:
-    customers = read_table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("nationkey"))
-    return rollup_by_dimension(
-        orders(spark, folder), customers, ("o_custkey", "c_custkey"), ["nationkey"], NATION,
-        ts="o_orderdate", measures={"y": "o_totalprice"}, unit=MILLION,
-    )
-
-
 def customer_series(spark: SparkSession, folder: str) -> DataFrame:
     """Sparse series: one per customer, months without orders have no row."""
     facts = orders(spark, folder).withColumnRenamed("o_custkey", "custkey")
@@ -68,10 +57,6 @@ def event_series(spark: SparkSession, folder: str) -> DataFrame:
     return monthly_rollup(facts, EVENT_DAY, "ts", {"y": "value"}, scale=6)
 
 
-def total_series(spark: SparkSession, folder: str) -> DataFrame:
-    return monthly_rollup(orders(spark, folder), TOTAL, "o_orderdate", {"y": "o_totalprice"}, unit=MILLION)
-
-
 # -- SQL twins ---------------------------------------------------------------
 
 SEGMENT_SQL = """
