@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_KEYS = 2_000_000
 ASK = "batch int, bucket int, payload binary"
 ANSWER = "batch int, bucket int, answer binary"
@@ -53,7 +53,7 @@ def batched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_b
     """Deals documents into batches by a hash of id and text; other columns are left out."""
     total = text_bytes(docs, text)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(parts, -(-total // batch_bytes))
+    n = max(3 * parts, -(-total // batch_bytes))  # a few a partition, so that hashing deals them evenly
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("batch"), "doc_id", "text")
     return Batched(rows, n, total)
