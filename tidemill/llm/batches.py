@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
 BUCKET_KEYS = 2_000_000
+NO_ID = np.iinfo(np.int64).max
 ASK = "batch int, bucket int, payload binary"
 ANSWER = "batch int, bucket int, answer binary"
 
@@ -49,13 +50,15 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`")).cast("bigint")), F.lit(0))).first()[0])
 
 
-def batched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> Batched:
-    """Deals documents into batches by a hash of id and text; other columns are left out."""
+def batched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES) -> Batched:
+    """Deals documents into batches by a hash of id and text; of the other columns those in ``carry`` stay."""
+    if {"batch", "doc_id", "text"} & {*carry}:
+        raise ValueError(f"cannot carry {carry} under these names")
     total = text_bytes(docs, text)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(3 * parts, -(-total // batch_bytes))  # a few a partition, so that hashing deals them evenly
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("batch"), "doc_id", "text")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`") for c in carry))
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("batch"), "*")
     return Batched(rows, n, total)
 
 
@@ -105,6 +108,22 @@ def answer_buckets(asked: DataFrame, dtype: np.dtype, decide: Callable[[np.ndarr
     return asked.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
+def answer_rows(table: pa.Table, given: list[bytes], shift: int = 0) -> pa.Table:
+    """Answers to the rows of ``table``, one by one; ``shift`` tells a second question's buckets from the first's."""
+    bucket = np.asarray(table.column("bucket")) + shift
+    return pa.table({"batch": table.column("batch"), "bucket": pa.array(bucket, pa.int32()), "answer": pa.array(given, pa.binary())})
+
+
+def ids_of(table: pa.Table, column: str = "doc_id") -> np.ndarray:
+    """Ids as int64; a null sorts after all others."""
+    return np.asarray(table.column(column).cast(pa.int64()).fill_null(NO_ID)).astype(np.int64)
+
+
+def in_order(table: pa.Table) -> pa.Table:
+    """Rows by doc_id; nulls last."""
+    return table.take(pa.array(np.argsort(ids_of(table), kind="stable")))
+
+
 def int_at(table: pa.Table, column: str, default: int = 0) -> int:
     """The value that all rows of a group share."""
     return table.column(column)[0].as_py() if table.num_rows else default

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from tidemill.llm.quality_rules import LIMITS, STOP_WORDS, quality_rules
 from tidemill.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
+from tidemill.llm.substring_dedup import substring_dedup
 from tidemill.llm.token_counts import token_counts
 from tidemill.llm.url_filter import BLOCK_GLOBS, FIXED_RULES, url_filter
 
@@ -83,3 +86,10 @@ SELECT page_id, host, path, rule, {verdict} WHEN {globs} THEN 'block' ELSE 'allo
 def op10(spark, folder):
     """Host and path rules, then globs, over every page's URL."""
     return url_filter(table(spark, folder, "pages"))
+
+
+@query("op1_substring_dedup")
+def op1(spark, folder):
+    """Words left of every document once passages of 20 words that occur earlier are gone."""
+    kept = substring_dedup(table(spark, folder, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
