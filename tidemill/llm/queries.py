@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from tidemill.llm.jaccard_join import jaccard_components
 from tidemill.llm.quality_rules import LIMITS, STOP_WORDS, quality_rules
 from tidemill.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from tidemill.llm.substring_dedup import substring_dedup
@@ -93,3 +94,9 @@ def op1(spark, folder):
     """Words left of every document once passages of 20 words that occur earlier are gone."""
     kept = substring_dedup(table(spark, folder, "documents"), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op9_ngram_jaccard_join")
+def op9(spark, folder):
+    """Components of documents whose sets of 3-word shingles overlap by 0.9 or more."""
+    return jaccard_components(table(spark, folder, "documents"), n=3, percent=90)
