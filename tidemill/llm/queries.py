@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from tidemill.llm.jaccard_join import jaccard_components
+from tidemill.llm.lm_scoring import lm_scores
 from tidemill.llm.quality_rules import LIMITS, STOP_WORDS, quality_rules
 from tidemill.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from tidemill.llm.substring_dedup import substring_dedup
@@ -100,3 +101,9 @@ def op1(spark, folder):
 def op9(spark, folder):
     """Components of documents whose sets of 3-word shingles overlap by 0.9 or more."""
     return jaccard_components(table(spark, folder, "documents"), n=3, percent=90)
+
+
+@query("op5_lm_scoring")
+def op5(spark, folder):
+    """Unigram and bigram scores of every document; a fifth of them is held out of training."""
+    return lm_scores(table(spark, folder, "documents"))
