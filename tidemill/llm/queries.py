@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from tidemill.llm.embedding_dedup import embedding_dedup
 from tidemill.llm.jaccard_join import jaccard_components
 from tidemill.llm.lm_scoring import lm_scores
 from tidemill.llm.quality_rules import LIMITS, STOP_WORDS, quality_rules
@@ -107,3 +108,22 @@ def op9(spark, folder):
 def op5(spark, folder):
     """Unigram and bigram scores of every document; a fifth of them is held out of training."""
     return lm_scores(table(spark, folder, "documents"))
+
+
+_OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+    WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+c(id, r) AS (SELECT a, b FROM k UNION SELECT c.id, k.b FROM c JOIN k ON c.r = k.a)
+SELECT v.vec_id, (SELECT count(*) FROM k WHERE k.a = v.vec_id) AS n_links,
+    least(v.vec_id, coalesce((SELECT min(r) FROM c WHERE c.id = v.vec_id), v.vec_id)) AS component_id,
+    v.vec_id = least(v.vec_id, coalesce((SELECT min(r) FROM c WHERE c.id = v.vec_id), v.vec_id)) AS kept
+FROM v"""
+
+
+@query("op7_embedding_dedup", _OP7_SQL)
+def op7(spark, folder):
+    """Links, component and survivor of every vector at cosine 0.98 within its label."""
+    return embedding_dedup(table(spark, folder, "embeddings"), threshold=0.98)
