@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from tidemill.llm.embedding_dedup import embedding_dedup
 from tidemill.llm.jaccard_join import jaccard_components
 from tidemill.llm.lm_scoring import lm_scores
+from tidemill.llm.mixing import mixed_sources
+from tidemill.llm.packing import best_fit_packing
+from tidemill.llm.quality_classifier import quality_classifier
 from tidemill.llm.quality_rules import LIMITS, STOP_WORDS, quality_rules
 from tidemill.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from tidemill.llm.substring_dedup import substring_dedup
@@ -127,3 +130,21 @@ FROM v"""
 def op7(spark, folder):
     """Links, component and survivor of every vector at cosine 0.98 within its label."""
     return embedding_dedup(table(spark, folder, "embeddings"), threshold=0.98)
+
+
+@query("op3_quality_classifier")
+def op3(spark, folder):
+    """Importance weight, Gumbel key and verdict of every document."""
+    return quality_classifier(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_best_fit_packing")
+def op4(spark, folder):
+    """Bins of every piece of every document."""
+    return best_fit_packing(table(spark, folder, "documents"))
+
+
+@query("op6_source_mixing")
+def op6(spark, folder):
+    """Weight, passes and copies of every document in the mixture of sources."""
+    return mixed_sources(table(spark, folder, "documents"))
