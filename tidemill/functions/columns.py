@@ -30,7 +30,10 @@ def stable_round(x: Column, digits: int = 6) -> Column:
     irrational part makes the result depend on the value only.
     """
     scale = float(10**digits)
-    return F.floor(x * dbl(scale) + dbl(0.50003141)) / dbl(scale)
+    moved = x * dbl(scale) + dbl(0.50003141)
+    # from 2^53 on a double is a whole number, and beyond the range of bigint floor would saturate
+    whole = F.when(F.abs(moved) < dbl(2.0**53), F.floor(moved).cast("double")).otherwise(moved)
+    return F.when(F.abs(x) < dbl(1e300 / scale), whole / dbl(scale)).otherwise(x)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,12 +85,12 @@ def ask(batch: int, keys: np.ndarray, columns: np.ndarray, n_buckets: int) -> pa
     )
 
 
-def answers(table: pa.Table, keys: np.ndarray, n_buckets: int, dtype=np.uint8) -> np.ndarray:
+def answers(table: pa.Table, keys: np.ndarray, n_buckets: int, dtype=np.uint8, read: Callable[[bytes], bytes] = bytes) -> np.ndarray:
     """Answers of all buckets, back in the order of ``keys``."""
     order, _, _ = dealt(keys, n_buckets)
     by_bucket = table.sort_by("bucket").column("answer").to_pylist()
     out = np.empty(len(keys), dtype)
-    out[order] = np.frombuffer(b"".join(by_bucket), dtype)
+    out[order] = np.frombuffer(b"".join(map(read, by_bucket)), dtype)
     return out
 
 
@@ -108,6 +109,14 @@ def answer_buckets(asked: DataFrame, dtype: np.dtype, decide: Callable[[np.ndarr
     return asked.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
+def compressed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def restored(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def answer_rows(table: pa.Table, given: list[bytes], shift: int = 0) -> pa.Table:
     """Answers to the rows of ``table``, one by one; ``shift`` tells a second question's buckets from the first's."""
     bucket = np.asarray(table.column("bucket")) + shift

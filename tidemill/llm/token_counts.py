@@ -59,10 +59,11 @@ def library_splitter(model: str):
 
 def packed(parts: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return np.uint32(len(parts)).tobytes() + sizes.tobytes() + b"".join(parts)
+    return batches.compressed(np.uint32(len(parts)).tobytes() + sizes.tobytes() + b"".join(parts))
 
 
 def unpacked(blob: bytes) -> list[bytes]:
+    blob = batches.restored(blob)
     n = int(np.frombuffer(blob, np.uint32, 1)[0])
     at = 4 + 4 * n + np.append(0, np.cumsum(np.frombuffer(blob, np.uint32, n, 4), dtype=np.int64))
     return [blob[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -101,13 +102,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str
         for at in range(0, len(distinct), 5_000):
             some = distinct[at : at + 5_000]
             pieces.update(zip(some, (len(e) for e in encode([p.decode() for p in some], add_special_tokens=False))))
-        given = [np.array([pieces[p] for p in parts], np.uint32).tobytes() for parts in asked]
+        given = [batches.compressed(np.array([pieces[p] for p in parts], np.uint32).tobytes()) for parts in asked]
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "answer": pa.array(given, pa.binary())})
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = words.texts_of(left.column("text"))
         distinct, rows, columns, counts, extra = frequencies(texts, special, model)
-        pieces = batches.answers(right, words.hashes_of([p.encode() for p in distinct]), n_buckets, np.uint32)
+        pieces = batches.answers(right, words.hashes_of([p.encode() for p in distinct]), n_buckets, np.uint32, batches.restored)
         running = np.append(0, np.cumsum(pieces[columns].astype(np.int64) * counts))
         ends = np.cumsum(rows)
         n = running[ends] - running[ends - rows] + extra

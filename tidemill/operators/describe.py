@@ -160,12 +160,13 @@ SW_LARGE_STD = (-0.4803, -0.082676, 0.0030302)
 
 
 def shapiro_wilk(df: DataFrame, spec: SeriesSpec, order: str | None = None, limit: int = 5000) -> DataFrame:
-    """Shapiro-Wilk W and p-value of the first ``limit`` values of each series.
+    """Shapiro-Wilk W of all values of each series, and its p-value.
 
-    The limit belongs to the test: its p-value approximation holds up to 5000 values.
+    The approximation of the p-value holds up to ``limit`` values; longer series have a null
+    p-value and verdict.
     """
     age = Window.partitionBy(*spec.keys).orderBy(order or spec.time)
-    rows = df.where(spec.y.isNotNull()).withColumn("_place", F.row_number().over(age)).where(F.col("_place") <= limit)
+    rows = df.where(spec.y.isNotNull()).withColumn("_place", F.row_number().over(age))
     rank = Window.partitionBy(*spec.keys).orderBy(spec.value, "_place")
     whole = spec.whole()
     rows = rows.withColumns(
@@ -209,7 +210,7 @@ def shapiro_wilk(df: DataFrame, spec: SeriesSpec, order: str | None = None, limi
         .when((n <= 11) & (miss >= gamma), dbl(0.0))
         .otherwise(dbl(1.0) - normal_cdf(F.col("_z")))
     )
-    stats = stats.withColumn("p_value", p).drop("_miss", "_size", "_z")
+    stats = stats.withColumn("p_value", F.when(F.col("n") <= limit, p)).drop("_miss", "_size", "_z")
     return stats.withColumn("is_normal", F.col("p_value") > 0.05)
 
 

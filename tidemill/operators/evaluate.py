@@ -209,7 +209,8 @@ def walk_forward_predictions(
     test = folds.where(F.col("part") == "test").select(*fs.ids, spec.y.alias("y"))
     fits = {
         "moving_average": lambda: forecast_moving_average(train, fs, 3, test_size),
-        "arima": lambda: forecast_arima(train, fs, (2, 1, 2), test_size).drop("status"),
+        # a series the model could not fit is no result of the model
+        "arima": lambda: forecast_arima(train, fs, (2, 1, 2), test_size).where(F.col("status") == "ok").drop("status"),
     }
     ahead = None
     for name in models:

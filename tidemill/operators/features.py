@@ -99,43 +99,60 @@ def rolling_current(spec: SeriesSpec, windows: Iterable[int] = WINDOWS) -> dict[
     return {f"{name}_{w}m": _rolling(spec, name, w, True) for w in windows for name in ("mean", "std")}
 
 
-# Values per block of an exponential mean. Older blocks weigh less than a double can
-# show ((11/13)^256 < 1e-18 for span 12) and powers within a block stay in range.
-EWM_BLOCK = 256
+# Weight of the value before the last block, below what a double can show beside 1.
+EWM_LOST = 40.0  # exp(-40) = 4e-18
+# Powers within a block stay below exp(600).
+EWM_RANGE = 600.0
+
+
+def _ewm_blocks(spans: Iterable[int]) -> list[tuple[int, list[int]]]:
+    """Spans that can share a block of values, with its length: long enough for the slowest, in range for the fastest."""
+    out: list[tuple[int, list[int]]] = []
+    for s in sorted(set(spans)):
+        rate = -math.log(1.0 - 2.0 / (s + 1)) if s > 1 else math.inf
+        length = max(256, math.ceil(EWM_LOST / rate))
+        fastest = -math.log(1.0 - 2.0 / (max(out[-1][1][0], 2) + 1)) if out else 0.0
+        if out and length * fastest <= EWM_RANGE:
+            out[-1] = (max(length, out[-1][0]), [*out[-1][1], s])
+        else:
+            out.append((length, [s]))
+    return out
 
 
 def ewm_features(df: DataFrame, spec: SeriesSpec, spans: Iterable[int] = SPANS) -> DataFrame:
-    """Exponential means of the previous values, seeded with the first one.
+    """Exponential means of the previous values, seeded with the first one; any span above 1.
 
     The recursion is unrolled into running sums: within a block of values,
     sum(x_s q^(t-s)) = q^t sum(x_s q^-s), and the value at the end of the block
-    before carries over. Constant work per row for series of any length.
+    before carries over. Blocks are long enough for all older values to weigh less than a
+    double can show. Constant work per row for series of any length.
     """
     spans = list(spans)
-    if any((1.0 - 2.0 / (s + 1)) ** EWM_BLOCK > 1e-17 for s in spans):
-        raise ValueError(f"spans {spans} reach back further than one block of {EWM_BLOCK} values")
+    if any(s <= 1 for s in spans):
+        raise ValueError("spans must be above 1")
     w = spec.ordered()
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    place = F.when(spec.y.isNotNull(), F.count(spec.value).over(upto) - 1)
-    rows = df.withColumn("_place", place)
-    rows = rows.withColumn("_block", F.floor(F.col("_place") / F.lit(EWM_BLOCK)))
-    rows = rows.withColumn("_j", (F.col("_place") % EWM_BLOCK).cast("double"))
-    inside = Window.partitionBy(*spec.keys, "_block").orderBy(spec.time).rowsBetween(Window.unboundedPreceding, 0)
-    local, carry, shifted = {}, {}, {}
-    for s in spans:
-        alpha = 2.0 / (s + 1)
-        q = dbl(1.0 - alpha)
-        # the first value of all has full weight
-        weighted = spec.y * F.when(F.col("_place") == 0, dbl(1.0)).otherwise(dbl(alpha)) * F.pow(q, -F.col("_j"))
-        local[f"_local_{s}"] = F.pow(q, F.col("_j")) * F.sum(weighted).over(inside)
-        ends = F.when(F.col("_j") == EWM_BLOCK - 1, F.col(f"_local_{s}"))
-        before = F.last(ends, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        carry[f"_ema_{s}"] = F.when(
-            spec.y.isNotNull(), F.col(f"_local_{s}") + F.coalesce(F.pow(q, F.col("_j") + dbl(1.0)) * before, dbl(0.0))
-        )
-        shifted[f"ema_{s}"] = F.last(f"_ema_{s}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumns(local).withColumns(carry).withColumns(shifted)
-    return rows.drop("_place", "_block", "_j", *local, *carry)
+    before_now = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_place", F.when(spec.y.isNotNull(), F.count(spec.value).over(upto) - 1))
+    for length, group in _ewm_blocks(spans):
+        rows = rows.withColumn("_block", F.floor(F.col("_place") / F.lit(length)))
+        rows = rows.withColumn("_j", (F.col("_place") % length).cast("double"))
+        inside = Window.partitionBy(*spec.keys, "_block").orderBy(spec.time).rowsBetween(Window.unboundedPreceding, 0)
+        local, carry, shifted = {}, {}, {}
+        for s in group:
+            alpha = 2.0 / (s + 1)
+            q = dbl(1.0 - alpha)
+            # the first value of all has full weight
+            weighted = spec.y * F.when(F.col("_place") == 0, dbl(1.0)).otherwise(dbl(alpha)) * F.pow(q, -F.col("_j"))
+            local[f"_local_{s}"] = F.pow(q, F.col("_j")) * F.sum(weighted).over(inside)
+            ends = F.when(F.col("_j") == length - 1, F.col(f"_local_{s}"))
+            before = F.last(ends, ignorenulls=True).over(before_now)
+            carry[f"_ema_{s}"] = F.when(
+                spec.y.isNotNull(), F.col(f"_local_{s}") + F.coalesce(F.pow(q, F.col("_j") + dbl(1.0)) * before, dbl(0.0))
+            )
+            shifted[f"ema_{s}"] = F.last(f"_ema_{s}", ignorenulls=True).over(before_now)
+        rows = rows.withColumns(local).withColumns(carry).withColumns(shifted).drop("_block", "_j", *local, *carry)
+    return rows.drop("_place")
 
 
 def growth_mom(spec: SeriesSpec) -> dict[str, Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -127,6 +128,11 @@ def _differenced(df: DataFrame, spec: SeriesSpec, shape: ArmaShape) -> DataFrame
     return rows
 
 
+def _all_there(columns: Sequence[Column]) -> Column:
+    """A missing value leaves its row out of a fit; it never counts as zero."""
+    return reduce(lambda a, b: a & b, (c.isNotNull() for c in columns))
+
+
 def _with_shocks(df: DataFrame, spec: SeriesSpec, shape: ArmaShape) -> DataFrame:
     """First stage: long autoregression per key; its residuals become ``_e``."""
     rows = _differenced(df, spec, shape)
@@ -135,7 +141,7 @@ def _with_shocks(df: DataFrame, spec: SeriesSpec, shape: ArmaShape) -> DataFrame
     names = {f"_w{k}": F.lag("_w", k).over(w) for k in sorted({*lags, *shape.ar})}
     rows = rows.withColumns(names)
     regressors = [F.col(f"_w{k}") for k in lags] + ([dbl(1.0)] if shape.constant else [])
-    usable = F.col("_j") >= max(lags)
+    usable = (F.col("_j") >= max(lags)) & _all_there([*regressors, F.col("_w")])
     fit = rows.groupBy(*spec.keys).agg(gram([*regressors, F.col("_w")], usable).alias("_g"))
     fit = fit.select(*spec.keys, least_squares(len(regressors))("_g").alias("_a"))
     rows = rows.join(fit, list(spec.keys))
@@ -217,7 +223,7 @@ def fit_arma(df: DataFrame, spec: SeriesSpec, shape: ArmaShape) -> DataFrame:
     regressors = [F.col(f"_w{k}") for k in shape.ar] + [F.col(f"_e{k}") for k in shape.ma]
     regressors += [dbl(1.0)] if shape.constant else []
     reach = max(shape.long_ar) + max(shape.ma, default=0)
-    usable = F.col("_j") >= max(reach, max(shape.ar, default=0))
+    usable = (F.col("_j") >= max(reach, max(shape.ar, default=0))) & _all_there([*regressors, F.col("_w")])
     p, q, d = max(shape.ar, default=1), max(shape.ma, default=1), max(sum(shape.diffs), 1)
     fits = rows.groupBy(*spec.keys).agg(
         gram([*regressors, F.col("_w")], usable).alias("_g"),
@@ -240,6 +246,8 @@ def forecast_arma(df: DataFrame, spec: SeriesSpec, shape: ArmaShape, horizon: in
     path = _arma_path(shape, horizon)("coef", "w_tail", "e_tail", "y_tail")
     fits = fits.withColumn("_path", path)
     fits = fits.withColumn("path", F.coalesce(F.col("_path"), moving_average_path(F.col("_recent"), horizon)))
+    recent = (F.col("status") == "ok") & F.col("_path").isNull()
+    fits = fits.withColumn("status", F.when(recent, F.lit("no_recent_values")).otherwise(F.col("status")))
     rows = fits.select("*", F.posexplode("path").alias("_at", "yhat"))
     step = (F.col("_at") + 1).cast("int")
     return rows.select(
@@ -273,7 +281,7 @@ def arima_order_search(
         rows = _with_shocks(df, spec, shape)
         rows = rows.withColumns({f"_e{j}": F.lag("_e", j).over(spec.ordered()) for j in shape.ma})
         terms = [F.col(f"_w{j}") for j in shape.ar] + [F.col(f"_e{j}") for j in shape.ma] + [dbl(1.0), F.col("_w")]
-        usable = F.col("_j") >= max(shape.long_ar) + max_q
+        usable = (F.col("_j") >= max(shape.long_ar) + max_q) & _all_there(terms)
         grams = rows.groupBy(*spec.keys).agg(gram(terms, usable).alias("_g"), F.count_if(usable).alias("nobs"))
         grams = grams.withColumn("_best", _order_picker(k, max_p, max_q, d == 0)("_g", "nobs"))
         picked = grams.select(*spec.keys, F.lit(d).alias("d"), "nobs", "_best.*")

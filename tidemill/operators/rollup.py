@@ -11,9 +11,12 @@ from tidemill.functions.columns import dbl, require
 from tidemill.spec import SeriesSpec
 
 
-def exact_sum(column: Column, scale: int = 2) -> Column:
-    """Order-independent sum of a money column: decimal inside."""
-    return F.sum(column.cast(f"decimal(18,{scale})"))
+def exact_sum(column: Column, scale: int | None = None, precision: int = 18) -> Column:
+    """Sum in doubles, or, with a ``scale``, the order-independent sum of decimals of that many digits after the point.
+
+    A value that ``precision`` digits cannot hold fails the job; decimals up to 38 digits may be asked for.
+    """
+    return F.sum(column.cast("double") if scale is None else column.cast(f"decimal({precision},{scale})"))
 
 
 def monthly_rollup(
@@ -23,7 +26,7 @@ def monthly_rollup(
     measures: Mapping[str, str],
     count: str | None = "n",
     unit: float = 1.0,
-    scale: int = 2,
+    scale: int | None = None,
 ) -> DataFrame:
     """Sum measures per (keys, calendar step); one map-side combined hash aggregate.
 
@@ -55,7 +58,7 @@ def rollup_by_dimension(
     measures: Mapping[str, str],
     count: str | None = "n",
     unit: float = 1.0,
-    scale: int = 2,
+    scale: int | None = None,
 ) -> DataFrame:
     """Roll up facts by attributes of a dimension.
 

@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 
 from tidemill.functions.columns import dbl, div, ladder
 from tidemill.functions.distributions import chi2_tail_even, normal_cdf
-from tidemill.operators.describe import with_index
-from tidemill.operators.linalg import VECTOR, gram, solve_batch, stack, unpack
+from tidemill.operators.linalg import VECTOR, stack
 from tidemill.spec import SeriesSpec
 
 # -- autocorrelation ---------------------------------------------------------
@@ -217,80 +216,75 @@ ADF_CRITICAL = {
 }
 
 
-@F.pandas_udf(T.LongType())
-def _best_adf_lag(grams: pd.Series, nobs: pd.Series, maxlag: pd.Series) -> pd.Series:
-    """Lag with the lowest AIC; every candidate is a sub-matrix of one gram matrix."""
-    size = next((len(g) for g in grams if g is not None), 3)
-    k = int((math.isqrt(8 * size + 1) - 1) // 2)
-    full = unpack(stack(grams, size), k)
-    best = np.full(len(full), -1, dtype="int64")
-    lowest = np.full(len(full), np.inf)
-    n = nobs.to_numpy(dtype=float)
-    for lag in range(k - 2):
-        use = list(range(2 + lag))
-        usable = (maxlag.to_numpy(dtype=float) >= lag) & (n > 2 + lag)
-        xx, xy = full[:, use][:, :, use].copy(), full[:, use, k - 1]
-        beta = solve_batch(xx, xy)
-        sse = full[:, k - 1, k - 1] - (beta * xy).sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            aic = n * (np.log(2 * math.pi) + np.log(sse / n) + 1.0) + 2.0 * (2 + lag)
-        better = usable & np.isfinite(aic) & (aic < lowest)
-        best[better], lowest[better] = lag, aic[better]
-    return pd.Series(best)
-
-
-@F.pandas_udf(T.DoubleType())
-def _adf_t(grams: pd.Series, nobs: pd.Series, lag: pd.Series) -> pd.Series:
-    """t-value of the lagged level; columns beyond the chosen lag are left out."""
-    size = next((len(g) for g in grams if g is not None), 3)
-    k = int((math.isqrt(8 * size + 1) - 1) // 2)
-    full = unpack(stack(grams, size), k)
-    out = np.full(len(full), np.nan)
-    for chosen in sorted(set(lag.dropna().astype(int)) - {-1}):
-        rows = np.flatnonzero(lag.to_numpy() == chosen)
-        use = list(range(2 + chosen))
-        sub = full[rows]
-        xx, xy = sub[:, use][:, :, use].copy(), sub[:, use, k - 1]
-        beta = solve_batch(xx, xy, 0.0)
-        sse = sub[:, k - 1, k - 1] - (beta * xy).sum(axis=1)
-        ok = np.isfinite(beta).all(axis=1) & np.isfinite(xx).all(axis=(1, 2))
-        xx[~ok] = np.eye(len(use))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            variance = sse / (nobs.to_numpy(dtype=float)[rows] - len(use)) * np.linalg.inv(xx)[:, 0, 0]
-            out[rows] = np.where(ok, beta[:, 0] / np.sqrt(variance), np.nan)
-    return pd.Series(out).astype("Float64").where(~np.isnan(out))
-
-
-def adf_test(df: DataFrame, spec: SeriesSpec, lag_limit: int = 24) -> DataFrame:
-    """Augmented Dickey-Fuller test with a constant; lag order by AIC on a common sample.
+def _solved(xx: np.ndarray, xy: np.ndarray) -> np.ndarray | None:
+    try:
+        beta = np.linalg.solve(xx, xy)
+    except np.linalg.LinAlgError:
+        return None
+    return beta if np.isfinite(beta).all() else None
+
+
+def adf_fit(y: np.ndarray) -> tuple[float | None, int | None, int]:
+    """t-value of the lagged level, lag order and rows used, for one series in time order; NaN where missing.
 
-    The usual largest lag, 12 (n/100)^(1/4), passes ``lag_limit`` only beyond
-    1600 rows; raise the limit for longer series.
+    A row is used if its difference and all its regressors are there. Candidates of the lag order
+    are sub-models of one matrix of cross-products on the rows that the largest one leaves.
     """
-    rows = with_index(df, spec).withColumn("_diff", spec.y - F.lag(spec.value).over(spec.ordered()))
+    n = len(y)
+    largest = max(min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2), 0)
+    if np.isfinite(y).sum() < 2:
+        return None, None, 0
+    d = np.diff(y)
     # a shift of the level only moves the constant; centring keeps the cross-products well scaled
-    centre = F.avg(spec.value).over(spec.whole())
-    rows = rows.withColumn("_level", F.lag(spec.value).over(spec.ordered()) - centre)
-    n = F.col("n").cast("double")
-    usual = F.ceil(dbl(12.0) * F.pow(n / dbl(100.0), dbl(0.25)))
-    maxlag = F.greatest(F.least(usual, F.floor(n / dbl(2.0)) - 2, F.lit(lag_limit)), F.lit(0)).cast("bigint")
-    lagged = {f"_d{k}": F.lag("_diff", k).over(spec.ordered()) for k in range(1, lag_limit + 1)}
-    rows = rows.withColumns(lagged).withColumn("_maxlag", maxlag)
-    terms = [F.col("_level"), dbl(1.0), *[F.coalesce(F.col(c), dbl(0.0)) for c in lagged], F.col("_diff")]
-
-    # first pass: all candidates on the sample the largest lag leaves
-    common = F.col("i") > F.col("_maxlag")
-    first = rows.groupBy(*spec.keys).agg(
-        gram(terms, common).alias("_g"), F.count_if(common).alias("_obs"), F.max("_maxlag").alias("_maxlag")
-    )
-    chosen = first.select(*spec.keys, _best_adf_lag("_g", "_obs", "_maxlag").alias("lags_used"))
-    # second pass: the chosen lag on all rows it allows
-    joined = rows.join(chosen, list(spec.keys))
-    used = F.col("i") > F.col("lags_used")
-    second = joined.groupBy(*spec.keys).agg(
-        gram(terms, used).alias("_g"), F.count_if(used).alias("nobs"), F.max("lags_used").alias("lags_used")
-    )
-    out = second.select(*spec.keys, _adf_t("_g", "nobs", "lags_used").alias("adf_stat"), "lags_used", "nobs")
+    table = np.full((n - 1, largest + 3), np.nan)
+    table[:, 0], table[:, 1], table[:, -1] = y[:-1] - np.nanmean(y), 1.0, d
+    for k in range(1, largest + 1):
+        table[k:, 1 + k] = d[:-k]
+    common = table[np.isfinite(table).all(axis=1)]
+    obs, products = len(common), common.T @ common
+    best, lowest = None, math.inf
+    for lag in range(largest + 1):
+        use = slice(0, 2 + lag)
+        beta = _solved(products[use, use], products[use, -1]) if obs > 2 + lag else None
+        sse = products[-1, -1] - beta @ products[use, -1] if beta is not None else 0.0
+        aic = obs * (math.log(2 * math.pi) + math.log(sse / obs) + 1.0) + 2.0 * (2 + lag) if sse > 0 else math.inf
+        if aic < lowest:
+            best, lowest = lag, aic
+    if best is None:
+        return None, None, obs
+    rows = table[:, [*range(2 + best), -1]]
+    rows = rows[np.isfinite(rows).all(axis=1)]
+    products, nobs = rows.T @ rows, len(rows)
+    beta = _solved(products[:-1, :-1], products[:-1, -1])
+    if beta is None or nobs <= len(beta):
+        return None, best, nobs
+    sse = products[-1, -1] - beta @ products[:-1, -1]
+    first = _solved(products[:-1, :-1], np.eye(len(beta))[0])
+    scale = sse / (nobs - len(beta)) * first[0] if first is not None else 0.0
+    return (float(beta[0] / math.sqrt(scale)) if scale > 0 else None), best, nobs
+
+
+ADF_FIT = T.StructType(
+    [T.StructField("adf_stat", T.DoubleType()), T.StructField("lags_used", T.LongType()), T.StructField("nobs", T.LongType())]
+)
+
+
+@F.pandas_udf(ADF_FIT)
+def _adf(values: pd.Series) -> pd.DataFrame:
+    fits = [adf_fit(np.array([np.nan if v is None else v for v in y], dtype=float)) for y in values]
+    out = pd.DataFrame(fits, columns=["adf_stat", "lags_used", "nobs"])
+    return out.astype({"adf_stat": "Float64", "lags_used": "Int64", "nobs": "int64"})
+
+
+def adf_test(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Augmented Dickey-Fuller test with a constant; lag order by AIC on a common sample.
+
+    The largest lag is 12 (n/100)^(1/4), at most n/2 - 2. One exchange brings each series, bounded by
+    its calendar, into one array; many series are fitted per Arrow batch.
+    """
+    pairs = F.sort_array(F.collect_list(F.struct(spec.t.alias("t"), spec.y.cast("double").alias("y"))))
+    series = df.groupBy(*spec.keys).agg(F.transform(pairs, lambda p: p["y"]).alias("_values"))
+    out = series.select(*spec.keys, _adf("_values").alias("_fit")).select(*spec.keys, "_fit.*")
     tau, size = F.col("adf_stat"), F.col("nobs").cast("double")
     small = normal_cdf(_powers(tau, ADF_SMALL_P))
     large = normal_cdf(_powers(tau, ADF_LARGE_P))

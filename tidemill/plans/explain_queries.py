@@ -95,8 +95,8 @@ def all_model_predictions(spark, folder) -> DataFrame:
     actual = marked.where(F.col("split") == "test").select("segment", "date", "y")
     ahead = forecast.forecast_moving_average(train, SEG, 3, mq.TEST)
     for one in (
-        forecast.forecast_arima(train, SEG, (2, 1, 2), mq.TEST).drop("status"),
-        forecast.forecast_sarima(train, SEG, mq.TEST).drop("status"),
+        forecast.forecast_arima(train, SEG, (2, 1, 2), mq.TEST).where(F.col("status") == "ok").drop("status"),
+        forecast.forecast_sarima(train, SEG, mq.TEST).where(F.col("status") == "ok").drop("status"),
         forecast.forecast_trend_seasonal(train, SEG, mq.TEST),
     ):
         ahead = ahead.unionByName(one)

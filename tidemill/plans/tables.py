@@ -27,7 +27,7 @@ def segment_series(spark: SparkSession, folder: str) -> DataFrame:
     customers = read_table(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
     return rollup_by_dimension(
         orders(spark, folder), customers, ("o_custkey", "c_custkey"), ["segment"], SEGMENT,
-        ts="o_orderdate", measures={"y": "o_totalprice"}, unit=MILLION,
+        ts="o_orderdate", measures={"y": "o_totalprice"}, unit=MILLION, scale=2,
     )
 
 
@@ -39,7 +39,7 @@ def segment_grid(spark: SparkSession, folder: str) -> DataFrame:
 def customer_series(spark: SparkSession, folder: str) -> DataFrame:
     """Sparse series: one per customer, months without orders have no row."""
     facts = orders(spark, folder).withColumnRenamed("o_custkey", "custkey")
-    return monthly_rollup(facts, CUSTOMER, "o_orderdate", {"y": "o_totalprice"}, unit=MILLION)
+    return monthly_rollup(facts, CUSTOMER, "o_orderdate", {"y": "o_totalprice"}, unit=MILLION, scale=2)
 
 
 def line_series(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +48,7 @@ def line_series(spark: SparkSession, folder: str) -> DataFrame:
         spark, folder, "lineitem", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity", "l_extendedprice"
     ).withColumnsRenamed({"l_returnflag": "returnflag", "l_linestatus": "linestatus"})
     return monthly_rollup(
-        facts, LINE, "l_shipdate", {"y": "l_extendedprice", "quantity": "l_quantity"}, unit=MILLION
+        facts, LINE, "l_shipdate", {"y": "l_extendedprice", "quantity": "l_quantity"}, unit=MILLION, scale=2
     )
 
 
