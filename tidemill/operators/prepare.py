@@ -174,11 +174,12 @@ def history_plus_forecast(history: DataFrame, forecasts: DataFrame, spec: Series
 def dedupe_keep_last(df: DataFrame, spec: SeriesSpec, seq: str) -> DataFrame:
     """One row per (keys, time): the one with the highest ``seq``.
 
-    An aggregate, not a window, so any number of copies of one period are
+    Rows without a ``seq`` come last; ties go to the row whose other columns, in their order, are the
+    largest. An aggregate, not a window, so any number of copies of one period are
     combined map-side instead of meeting in one task.
     """
     others = [c for c in df.columns if c not in spec.ids]
-    best = F.max_by(F.struct(*others), F.col(seq)).alias("_best")
+    best = F.max_by(F.struct(*others), F.struct(seq, *others)).alias("_best")
     return df.groupBy(*spec.ids).agg(best).select(*spec.ids, "_best.*")
 
 

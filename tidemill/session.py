@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,23 @@ def build_session(app: str = "tidemill", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, for functions that run there; once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tidemill-package-")) / "tidemill.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._tidemill_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

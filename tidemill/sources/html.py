@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.columns import let
 from tidemill.functions.text import parse_number, strip_tags
 
-TABLE = r"(?is)<table\b[^>]*>(.*?)</table>"
+# a table ends at its closing tag, at the next opening one (nested or not closed), or with the page
+TABLE = r"(?is)^[^>]*>(.*?)(?:</table|\z)"
 # closing tags of rows and cells are often left out, so each ends at the next opening one
 ROW = r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tbody|$)"
 CELL = r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]>|<t[dh]\b|</tr>|$)"
@@ -20,6 +22,12 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
+def _tables(html: Column) -> Column:
+    """Contents of the tables of a page; each opening tag is met once."""
+    parts = F.split(html, r"(?i)<table\b")
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.regexp_extract(p, TABLE, 1))
+
+
 def _cells(row: Column) -> Column:
     return F.transform(_all(row, CELL), strip_tags)
 
@@ -27,14 +35,21 @@ def _cells(row: Column) -> Column:
 def first_table_rows(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Month, volume and value of the first table: first row skipped, at least three cells."""
     with_table = pages.where(F.col(html).rlike(r"(?i)<table\b"))
-    first = F.get(_all(F.col(html), TABLE), F.lit(0))
-    rows = with_table.select(page_id, F.posexplode(_all(first, ROW)).alias("_r", "_row")).where(F.col("_r") >= 1)
-    rows = rows.select(page_id, F.col("_r").alias("row_no"), _cells(F.col("_row")).alias("_c")).where(F.size("_c") >= 3)
-    out = rows.select(
-        page_id, "row_no", F.get("_c", F.lit(0)).alias("month"),
-        parse_number(F.get("_c", F.lit(1))).alias("volume"), parse_number(F.get("_c", F.lit(2))).alias("value"),
-    )
-    return out.where((F.col("month") != "") & F.col("volume").isNotNull())
+    first = F.get(_tables(F.col(html)), F.lit(0))
+
+    def record(row: Column) -> Column:
+        # every row is parsed once, inside the array: filters below see finished columns
+        return let(
+            _cells(row),
+            lambda c: F.struct(
+                F.size(c).alias("cells"), F.get(c, F.lit(0)).alias("month"),
+                parse_number(F.get(c, F.lit(1))).alias("volume"), parse_number(F.get(c, F.lit(2))).alias("value"),
+            ),
+        )
+
+    rows = with_table.select(page_id, F.posexplode(F.transform(_all(first, ROW), record)).alias("row_no", "_t"))
+    rows = rows.where((F.col("row_no") >= 1) & (F.col("_t.cells") >= 3) & (F.col("_t.month") != "") & F.col("_t.volume").isNotNull())
+    return rows.select(page_id, "row_no", "_t.month", "_t.volume", "_t.value")
 
 
 def matching_table_rows(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -51,6 +66,6 @@ def matching_table_rows(pages: DataFrame, page_id: str = "page_id", html: str =
         named = F.exists(t["headers"], lambda h: h.rlike("|".join(HEADER_WORDS)))
         return named & (F.size(t["data"]) > 0)
 
-    tables = F.filter(F.transform(_all(F.col(html), TABLE), parse), telling)
+    tables = F.filter(F.transform(_tables(F.col(html)), parse), telling)
     picked = with_table.select(page_id, F.get(tables, F.lit(0)).alias("_t")).where(F.col("_t").isNotNull())
     return picked.select(page_id, F.col("_t.headers").alias("headers"), F.posexplode("_t.data").alias("row_no", "cells"))
