@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators import anomaly, ensemble, evaluate, forecast, prepare
+from tidemill.operators import anomaly, describe, ensemble, evaluate, forecast, prepare
 from tidemill.plans import tables as tb
 from tidemill.plans.registry import query, r, rs
-from tidemill.plans.sqlmath import cdf
+from tidemill.plans.sqlmath import cdf, poly, ppf
 
 SEG = tb.SEGMENT
 GREC = f"WITH RECURSIVE {tb.SEGMENT_GRID_SQL}"
@@ -222,7 +222,34 @@ def residual_stats(spark, folder):
     return evaluate.residual_stats(one_step(spark, folder), SEG)
 
 
-@query("residual_normality")
+NORMAL_CTE = f""",
+wa AS (SELECT segment, model, e AS y, row_number() OVER (PARTITION BY segment, model ORDER BY e, j) AS k, CAST(m AS DOUBLE) AS n FROM p),
+wb AS (SELECT *, (k - 0.375) / (n + 0.25) AS p, (n - 0.375) / (n + 0.25) AS p1, (n - 1.375) / (n + 0.25) AS p2 FROM wa),
+wc AS (SELECT *, {ppf('p')} AS m, {ppf('p1')} AS m1, {ppf('p2')} AS m2, 1 / sqrt(n) AS u FROM wb),
+wd AS (SELECT *, SUM(m * m) OVER (PARTITION BY segment, model) AS mm FROM wc),
+we AS (SELECT *, m1 / sqrt(mm) + {poly('u', describe.SW_LAST[::-1])} AS a1, m2 / sqrt(mm) + {poly('u', describe.SW_SECOND[::-1])} AS a2 FROM wd),
+wf AS (SELECT *, (mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) AS phi FROM we),
+wh AS (SELECT *, CASE WHEN k = 1 THEN -a1 WHEN k = 2 THEN -a2 WHEN k = n THEN a1 WHEN k = n - 1 THEN a2 ELSE m / sqrt(phi) END AS w FROM wf),
+ws AS (SELECT segment, model, MAX(n) AS n, pow(SUM(w * y), 2) / (VAR_POP(y) * COUNT(*)) AS w FROM wh GROUP BY 1, 2),
+wz AS (SELECT *, (ln(1 - w) - {poly('ln(n)', describe.SW_LARGE_MEAN[::-1])}) / exp({poly('ln(n)', describe.SW_LARGE_STD[::-1])}) AS z FROM ws),
+wq AS (SELECT *, 1 - {cdf('z')} AS shapiro_p FROM wz),
+jm AS (SELECT segment, model, AVG(e) AS mu FROM p GROUP BY 1, 2),
+jn AS (SELECT segment, model, COUNT(*) AS c, AVG(pow(e - mu, 2)) AS m2, AVG(pow(e - mu, 3)) AS m3, AVG(pow(e - mu, 4)) AS m4
+       FROM p JOIN jm USING (segment, model) GROUP BY 1, 2),
+jk AS (SELECT segment, model, c, m3 / pow(m2, 1.5) AS skewness, m4 / (m2 * m2) - 3 AS kurtosis FROM jn),
+jb AS (SELECT *, c / 6e0 * (skewness * skewness + kurtosis * kurtosis / 4) AS jb FROM jk),
+nm AS (SELECT *, exp(-jb / 2) AS jb_p FROM wq JOIN jb USING (segment, model))
+"""
+
+
+@query(
+    "residual_normality",
+    f"""{G}{ONE}{NORMAL_CTE} SELECT segment, model, {rs('w', 'shapiro_p', 'jb', 'jb_p', 'skewness', 'kurtosis')},
+        CASE WHEN shapiro_p > 0.05 AND ABS(skewness) < 1 AND ABS(kurtosis) < 3 THEN 'Residuals appear normally distributed'
+             WHEN shapiro_p > 0.05 THEN 'Residuals pass statistical test but may not be perfectly normal'
+             WHEN ABS(skewness) > 2 OR ABS(kurtosis) > 7 THEN 'Residuals show significant non-normality'
+             ELSE 'Residuals may deviate from normality but acceptable for forecasting' END AS interpretation FROM nm""",
+)
 def residual_normality(spark, folder):
     return evaluate.residual_normality(one_step(spark, folder), SEG)
 
@@ -247,7 +274,28 @@ def ljung_box(spark, folder):
     return evaluate.ljung_box(one_step(spark, folder), SEG).where(F.col("lb_stat").isNotNull())
 
 
-@query("heteroscedasticity")
+# the Student tail is a finite series: every term multiplies the one before
+HETERO_CTE = """,
+hq AS (SELECT segment, model, j, m, e * e AS e2 FROM p WHERE m >= 10),
+hk AS (SELECT *, rank() OVER (PARTITION BY segment, model ORDER BY e2)
+              + (COUNT(*) OVER (PARTITION BY segment, model, e2) - 1) / 2e0 AS rk FROM hq),
+hc AS (SELECT segment, model, corr(j, e2) AS correlation, corr(j, rk) AS rho, COUNT(*) - 2 AS dof FROM hk GROUP BY 1, 2),
+ht AS (SELECT *, atan(ABS(rho * sqrt(dof / ((1 - rho) * (1 + rho)))) / sqrt(dof)) AS th, dof % 2 AS odd FROM hc),
+hx AS (SELECT segment, model, th, odd, unnest(range(0, CAST(floor((dof - 2 - odd) / 2e0) AS BIGINT))) AS i FROM ht),
+hy AS (SELECT *, SUM(ln(pow(cos(th), 2) * (1 + odd + 2 * i) / (2e0 + odd + 2 * i))) OVER (PARTITION BY segment, model ORDER BY i) AS lt FROM hx),
+hz AS (SELECT segment, model, 1 + SUM(exp(lt)) AS total FROM hy GROUP BY 1, 2),
+hp AS (SELECT ht.*, GREATEST(1 - CASE WHEN odd = 1 THEN (th + sin(th) * cos(th) * COALESCE(total, 1)) * 2 / pi()
+                                      ELSE sin(th) * COALESCE(total, 1) END, 0) AS pv
+       FROM ht LEFT JOIN hz USING (segment, model))
+"""
+
+
+@query(
+    "heteroscedasticity",
+    f"""{G}{ONE}{HETERO_CTE} SELECT segment, model, {rs('correlation', 'rho', 'rho_p_value=pv')}, ABS(correlation) > 0.3 AS is_heteroscedastic,
+        pv < 0.05 AS spearman_heteroscedastic,
+        CASE WHEN ABS(correlation) < 0.3 THEN 'Constant variance' ELSE 'Variance changes over time' END AS interpretation FROM hp""",
+)
 def heteroscedasticity(spark, folder):
     return evaluate.heteroscedasticity(one_step(spark, folder), SEG)
 
@@ -284,12 +332,37 @@ def runs_test(spark, folder):
     return evaluate.runs_test(one_step(spark, folder), SEG)
 
 
-@query("residual_report")
+REPORT_CTE = NORMAL_CTE + LB_CTE + HETERO_CTE + RUNS_CTE
+
+
+@query(
+    "residual_report",
+    f"""{G}{ONE}{REPORT_CTE}, sm AS (SELECT segment, model, AVG(e) AS mean, STDDEV_POP(e) AS std, MIN(e) AS min, MAX(e) AS max, MEDIAN(e) AS median
+                                    FROM p GROUP BY 1, 2)
+        SELECT sm.segment, sm.model, {rs('mean', 'std', 'min', 'max', 'median', 'shapiro_p', 'jb_p', 'skewness', 'kurtosis', 'lb_stat=lp.q',
+        'lb_pvalue=lp.pv', 'correlation', 'rho', 'runs_p=rp.pv')}, lp.pv < 0.05 AS has_autocorrelation, ABS(correlation) > 0.3 AS is_heteroscedastic,
+        rp.runs, rp.pv > 0.05 AS is_random
+        FROM sm LEFT JOIN nm USING (segment, model) LEFT JOIN lp USING (segment, model) LEFT JOIN hp USING (segment, model)
+        LEFT JOIN rp USING (segment, model)""",
+)
 def residual_report(spark, folder):
     return evaluate.residual_report(one_step(spark, folder), SEG)
 
 
-@query("forecast_quality_text")
+@query(
+    "forecast_quality_text",
+    f"""{G}{ONE}{NORMAL_CTE}{LB_CTE}{metrics_cte('p', 'qm')},
+        qn AS (SELECT segment, model, STDDEV_POP(e) AS noise FROM p GROUP BY 1, 2),
+        qc AS (SELECT segment, model, AVG(CAST(ABS(e) <= 1.96 * noise AS DOUBLE)) * 100 AS coverage_pct FROM p JOIN qn USING (segment, model) GROUP BY 1, 2)
+        SELECT segment, model, {rs('coverage_pct')}, concat_ws('. ',
+            CASE WHEN r2 > 0.9 THEN 'Excellent fit (R² > 0.9)' WHEN r2 > 0.8 THEN 'Good fit (R² > 0.8)'
+                 WHEN r2 > 0.6 THEN 'Moderate fit (R² > 0.6)' ELSE 'Poor fit (R² < 0.6)' END,
+            CASE WHEN mape < 5 THEN 'High accuracy (MAPE < 5%)' WHEN mape < 10 THEN 'Good accuracy (MAPE < 10%)' END,
+            CASE WHEN coverage_pct > 90 THEN 'Reliable confidence intervals (' || CAST(floor(coverage_pct + 0.50003141) AS BIGINT) || '% coverage)' END,
+            CASE WHEN shapiro_p > 0.05 THEN 'Residuals are normally distributed' END,
+            CASE WHEN NOT (pv < 0.05) THEN 'No significant autocorrelation in residuals' END) AS interpretation
+        FROM qm JOIN qc USING (segment, model) LEFT JOIN nm USING (segment, model) LEFT JOIN lp USING (segment, model)""",
+)
 def forecast_quality_text(spark, folder):
     return evaluate.forecast_quality_text(one_step(spark, folder), SEG)
 
