@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.functions.columns import div, month_label, require
 from tidemill.spec import SeriesSpec
@@ -262,22 +263,37 @@ def _natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     )
 
 
-def impute_spline(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Natural cubic spline by row position. One series per group, bounded by its calendar."""
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _spline_filled(series: pd.Series) -> pd.Series:
+    """Every array of a batch with its nulls filled; arrays without a value stay as they are."""
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(spec.time).reset_index(drop=True)
-        known = pdf[spec.value].notna().to_numpy()
-        pdf["imputed"] = ~known
+    def fill(values) -> list[float | None]:
+        y = np.array([np.nan if v is None else v for v in values], dtype=float)
+        known = np.isfinite(y)
         if known.any() and not known.all():
-            pos = np.arange(len(pdf), dtype=float)
-            values = pdf[spec.value].to_numpy(dtype=float, copy=True)
-            values[~known] = _natural_spline(pos[known], values[known], pos[~known])
-            pdf[spec.value] = values
-        return pdf
-
-    schema = df.withColumn("imputed", F.lit(True)).schema
-    return df.groupBy(*spec.keys).applyInPandas(fill, schema)
+            pos = np.arange(len(y), dtype=float)
+            y[~known] = _natural_spline(pos[known], y[known], pos[~known])
+        return [None if np.isnan(v) else v for v in y.tolist()]
+
+    return series.map(fill)
+
+
+def impute_spline(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Natural cubic spline by row position, through the known values (it interpolates, it does not smooth).
+
+    A series is one array, bounded by its calendar; many series are filled per Arrow batch.
+    """
+    others = [c for c in df.columns if c not in spec.ids]
+    rows = F.sort_array(F.collect_list(F.struct(spec.time, *others)))
+    series = df.groupBy(*spec.keys).agg(rows.alias("_rows"))
+    values = F.transform("_rows", lambda r: r[spec.value].cast("double"))
+    series = series.withColumn("_fill", _spline_filled(values))
+    flat = series.select(*spec.keys, "_fill", F.posexplode("_rows").alias("_at", "_r"))
+    filled = F.get("_fill", F.col("_at"))
+    columns = {c: F.col("_r")[c] for c in (spec.time, *others)} | {spec.value: filled}
+    return flat.select(
+        *(F.col(c) if c in spec.keys else columns[c].alias(c) for c in df.columns), F.col("_r")[spec.value].isNull().alias("imputed")
+    )
 
 
 def impute(df: DataFrame, spec: SeriesSpec, method: str = "interpolate") -> DataFrame:

@@ -267,7 +267,31 @@ def impute_linear(spark, folder):
     return prepare.impute_linear(customer_grid(spark, folder), CUST)
 
 
-@query("impute_spline")
+# second derivatives of the natural spline: the tridiagonal system forward, then backward
+SPLINE_SQL = f"""WITH RECURSIVE {tb.CUSTOMER_GRID_SQL},
+kn AS (SELECT custkey, i AS x, y, row_number() OVER w - 1 AS k, COUNT(*) OVER (PARTITION BY custkey) AS m,
+              i - LAG(i) OVER w AS hl, LEAD(i) OVER w - i AS hr, y - LAG(y) OVER w AS dl, LEAD(y) OVER w - y AS dr
+       FROM cgrid WHERE y IS NOT NULL WINDOW w AS (PARTITION BY custkey ORDER BY i)),
+kc AS (SELECT *, k > 0 AND k < m - 1 AS inner_row FROM kn),
+ke AS (SELECT custkey, k, m, x, y, hr, CASE WHEN inner_row THEN hl ELSE 0 END AS low, CASE WHEN inner_row THEN 2e0 * (hl + hr) ELSE 1e0 END AS mid,
+              CASE WHEN inner_row THEN hr ELSE 0 END AS up, CASE WHEN inner_row THEN 6 * (dr / hr - dl / hl) ELSE 0e0 END AS rhs FROM kc),
+fw AS (SELECT custkey, k, mid, rhs, up FROM ke WHERE k = 0
+       UNION ALL
+       SELECT ke.custkey, ke.k, ke.mid - ke.low / fw.mid * fw.up, ke.rhs - ke.low / fw.mid * fw.rhs, ke.up
+       FROM fw JOIN ke ON ke.custkey = fw.custkey AND ke.k = fw.k + 1),
+ft AS (SELECT fw.*, ke.m FROM fw JOIN ke ON ke.custkey = fw.custkey AND ke.k = fw.k),
+bw AS (SELECT custkey, k, rhs / mid AS z FROM ft WHERE k = m - 1
+       UNION ALL
+       SELECT ft.custkey, ft.k, (ft.rhs - ft.up * bw.z) / ft.mid FROM bw JOIN ft ON ft.custkey = bw.custkey AND ft.k = bw.k - 1),
+sg AS (SELECT ke.custkey, ke.x AS x0, ke.x + ke.hr AS x1, ke.hr AS h, ke.y AS y0, LEAD(ke.y) OVER w AS y1, bw.z AS z0, LEAD(bw.z) OVER w AS z1
+       FROM ke JOIN bw ON bw.custkey = ke.custkey AND bw.k = ke.k WINDOW w AS (PARTITION BY ke.custkey ORDER BY ke.k)),
+sp AS (SELECT c.custkey, c.date, c.y IS NULL AS imputed, CASE WHEN c.y IS NOT NULL THEN c.y
+              ELSE z0 * pow(x1 - c.i, 3) / (6 * h) + z1 * pow(c.i - x0, 3) / (6 * h) + (y0 / h - z0 * h / 6) * (x1 - c.i) + (y1 / h - z1 * h / 6) * (c.i - x0) END AS y
+       FROM cgrid c LEFT JOIN sg ON c.y IS NULL AND sg.custkey = c.custkey AND c.i > sg.x0 AND c.i < sg.x1)
+"""
+
+
+@query("impute_spline", f"{SPLINE_SQL} SELECT custkey, date, {rs('y')}, imputed FROM sp")
 def impute_spline(spark, folder):
     return prepare.impute_spline(customer_grid(spark, folder), CUST)
 
