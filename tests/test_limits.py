@@ -150,3 +150,27 @@ print("rows", all_queries.QUERIES["adf_test"](spark, "/root/testdata/sf0.001").c
     root = str(Path(__file__).resolve().parents[1])
     done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 5" in done.stdout, done.stderr[-2000:]
+
+
+def test_short_series_keep_their_rows(spark, spec):
+    """Every key of the input is in the result, with nulls and a reason."""
+    from tidemill.operators import evaluate, ml
+
+    y = [100.0 + 10 * math.sin(k) + k for k in range(80)]
+    gappy = y[:70] + [None] + y[71:]
+    df = make_series(spark, {"long": y, "short": y[:6], "gap": gappy, "none": [None] * 20})
+    cv = {(r.key, r.model): r for r in evaluate.walk_forward_cv(df, spec).collect()}
+    assert len(cv) == 8 and cv["short", "arima"].n_splits == 0 and cv["short", "arima"].mean_rmse is None
+    assert cv["long", "moving_average"].n_splits == 4
+    orders = {r.key: r.status for r in forecast.arima_order_search(df, spec, 2, 1, 2).collect()}
+    assert orders == {"long": "ok", "short": "too_short", "gap": "ok", "none": "too_short"}
+    assert {r.key for r in forecast.forecast_trend_seasonal(df, spec, 3).collect()} == {"long", "short", "gap", "none"}
+    rows = ml.model_rows(make_series(spark, {"long": y}), spec)
+    ahead = ml.forecast_recursive(ml.fit_ridge(rows), df, spec, 2).collect()
+    assert {(r.key, r.status) for r in ahead} == {("long", "ok"), ("short", "too_short"), ("gap", "too_short"), ("none", "too_short")}
+    few = df.where("key in ('long', 'short')").select("key", "date", "y", F.lit("m").alias("model"), (F.col("y") + 1).alias("yhat"))
+    for check in (evaluate.runs_test, evaluate.heteroscedasticity):
+        got = {r.key: r.interpretation for r in check(few, spec).collect()}
+        assert got["short"] == "Insufficient data" != got["long"]
+    two = few.where("date < '2015-03-01'")
+    assert {r.interpretation for r in evaluate.residual_normality(two, spec).collect()} == {"Insufficient data"}

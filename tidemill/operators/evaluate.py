@@ -16,6 +16,10 @@ from tidemill.operators.forecast import forecast_arima, forecast_moving_average
 from tidemill.spec import SeriesSpec
 
 
+# Fixed value: the reason given where a series is too short for a test.
+TOO_FEW = "Insufficient data"
+
+
 def by_model(spec: SeriesSpec) -> SeriesSpec:
     """The same series told apart by model, with residuals as value."""
     return SeriesSpec((*spec.keys, "model"), spec.time, "residual", spec.freq, spec.period)
@@ -56,18 +60,20 @@ def residual_stats(predictions: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 
 def residual_normality(predictions: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Shapiro-Wilk, Jarque-Bera, shape and the verdict, for at least 3 residuals."""
+    """Shapiro-Wilk, Jarque-Bera, shape and the verdict; nulls and a reason for fewer than 3 residuals."""
     ms = by_model(spec)
     keys = list(ms.keys)
     rows = with_residuals(predictions)
     sw = ds.shapiro_wilk(rows, ms).select(*keys, "w", F.col("p_value").alias("shapiro_p"), "n")
     jb = ds.jarque_bera(rows, ms).select(*keys, "jb", F.col("p_value").alias("jb_p"))
     shape = ds.skew_kurt(rows, ms).select(*keys, "skewness", "kurtosis")
-    out = sw.join(jb, keys).join(shape, keys).where(F.col("n") >= 3).drop("n")
+    out = sw.join(jb, keys).join(shape, keys)
+    out = out.select(*keys, *(F.when(F.col("n") >= 3, F.col(c)).alias(c) for c in ("w", "shapiro_p", "jb", "jb_p", "skewness", "kurtosis")))
     s, k = F.abs("skewness"), F.abs("kurtosis")
     passed = F.col("shapiro_p") > 0.05
     verdict = (
-        F.when(passed & (s < 1) & (k < 3), F.lit("Residuals appear normally distributed"))
+        F.when(F.col("w").isNull(), F.lit(TOO_FEW))
+        .when(passed & (s < 1) & (k < 3), F.lit("Residuals appear normally distributed"))
         .when(passed, F.lit("Residuals pass statistical test but may not be perfectly normal"))
         .when((s > 2) | (k > 7), F.lit("Residuals show significant non-normality"))
         .otherwise(F.lit("Residuals may deviate from normality but acceptable for forecasting"))
@@ -83,10 +89,15 @@ def ljung_box(predictions: DataFrame, spec: SeriesSpec, lags: int = 12) -> DataF
     return out.withColumn("interpretation", F.when(F.col("lb_stat").isNotNull(), text))
 
 
+def _correlation(a: Column, b: Column) -> Column:
+    """Aggregate: Pearson's correlation, null where a side is constant."""
+    return div(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def heteroscedasticity(predictions: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Correlation of squared residuals with time, plain and by average ranks; at least 10 rows."""
+    """Correlation of squared residuals with time, plain and by average ranks; nulls and a reason below 10 rows."""
     ms = by_model(spec)
-    rows = ds.with_index(with_residuals(predictions), ms).where(F.col("n") >= 10)
+    rows = ds.with_index(with_residuals(predictions), ms)
     rows = rows.withColumn("_e2", F.col("residual") * F.col("residual"))
     # ties share the mean of the ranks they span
     order = Window.partitionBy(*ms.keys).orderBy("_e2")
@@ -94,25 +105,27 @@ def heteroscedasticity(predictions: DataFrame, spec: SeriesSpec) -> DataFrame:
     rows = rows.withColumn("_rank", F.rank().over(order) + (F.count(F.lit(1)).over(tie) - 1) / dbl(2.0))
     x = F.col("i").cast("double")
     out = rows.groupBy(*ms.keys).agg(
-        F.corr(x, F.col("_e2")).alias("correlation"), F.corr(x, F.col("_rank")).alias("rho"), F.count(F.lit(1)).alias("_n")
+        _correlation(x, F.col("_e2")).alias("correlation"), _correlation(x, F.col("_rank")).alias("rho"), F.count(F.lit(1)).alias("_n")
     )
+    enough = F.col("_n") >= 10
+    out = out.withColumns({c: F.when(enough, F.col(c)) for c in ("correlation", "rho")})
     rho, dof = F.col("rho"), F.col("_n") - 2
     t = rho * F.sqrt(div(dof.cast("double"), (dbl(1.0) - rho) * (dbl(1.0) + rho)))
-    out = out.withColumn("rho_p_value", student_two_sided(t, dof)).drop("_n")
+    out = out.withColumn("rho_p_value", F.when(enough, student_two_sided(t, dof))).withColumn("_few", ~enough).drop("_n")
     big = F.abs("correlation") > 0.3
     return out.withColumns(
         {
             "is_heteroscedastic": big,
             "spearman_heteroscedastic": F.col("rho_p_value") < 0.05,
-            "interpretation": F.when(F.abs("correlation") < 0.3, F.lit("Constant variance")).otherwise(
-                F.lit("Variance changes over time")
-            ),
+            "interpretation": F.when(F.col("_few"), F.lit(TOO_FEW))
+            .when(F.coalesce(F.abs("correlation") < 0.3, F.lit(True)), F.lit("Constant variance"))
+            .otherwise(F.lit("Variance changes over time")),
         }
-    )
+    ).drop("_few")
 
 
 def runs_test(predictions: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Runs above and below the median; at least 10 rows."""
+    """Runs above and below the median; nulls and a reason below 10 rows."""
     ms = by_model(spec)
     rows = with_residuals(predictions)
     rows = rows.withColumn("_mid", F.percentile("residual", dbl(0.5)).over(ms.whole()))
@@ -124,14 +137,19 @@ def runs_test(predictions: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
     a, b = F.col("_a"), F.col("_b")
     n, ab = a + b, dbl(2.0) * a * b
-    out = out.where(n >= 10).withColumn("expected_runs", ab / n + dbl(1.0))
-    variance = ab * (ab - n) / (n * n * (n - dbl(1.0)))
+    enough = n >= 10
+    out = out.withColumns({"runs": F.when(enough, F.col("runs")), "expected_runs": F.when(enough, ab / n + dbl(1.0))})
+    variance = div(ab * (ab - n), n * n * (n - dbl(1.0)))
     out = out.withColumn("_v", variance)
-    z = F.when(F.col("_v") > 0, (F.col("runs") - F.col("expected_runs")) / F.sqrt("_v")).otherwise(dbl(0.0))
+    z = F.when(~enough, F.lit(None)).when(F.col("_v") > 0, (F.col("runs") - F.col("expected_runs")) / F.sqrt("_v")).otherwise(dbl(0.0))
     out = out.withColumn("z_statistic", z)
-    p = F.when(F.col("_v") > 0, dbl(2.0) * (dbl(1.0) - normal_cdf(F.abs("z_statistic")))).otherwise(dbl(1.0))
+    p = F.when(~enough, F.lit(None)).when(F.col("_v") > 0, dbl(2.0) * (dbl(1.0) - normal_cdf(F.abs("z_statistic")))).otherwise(dbl(1.0))
     out = out.withColumn("p_value", p).withColumn("is_random", F.col("p_value") > 0.05).drop("_a", "_b", "_v")
-    text = F.when(F.col("is_random"), F.lit("Residuals appear random")).otherwise(F.lit("Residuals show patterns"))
+    text = (
+        F.when(F.col("p_value").isNull(), F.lit(TOO_FEW))
+        .when(F.col("is_random"), F.lit("Residuals appear random"))
+        .otherwise(F.lit("Residuals show patterns"))
+    )
     return out.withColumn("interpretation", text)
 
 
@@ -222,13 +240,19 @@ def walk_forward_predictions(
 def walk_forward_cv(
     df: DataFrame, spec: SeriesSpec, n_splits: int = 5, test_size: int = 12, models: tuple[str, ...] = ("moving_average", "arima")
 ) -> DataFrame:
-    """Mean errors over the folds and the population std of their rmse, per key and model."""
+    """Mean errors over the folds and the population std of their rmse, per key and model.
+
+    ``n_splits`` counts the folds that the model could fit; it is 0, with null errors, for series too short for any.
+    """
     predictions = walk_forward_predictions(df, spec, n_splits, test_size, models)
     folds = regression_metrics(predictions, spec, "fold")
-    return folds.groupBy(*spec.keys, "model").agg(
+    every = df.select(*spec.keys).distinct().withColumn("model", F.explode(F.array(*(F.lit(m) for m in models))))
+    means = folds.groupBy(*spec.keys, "model").agg(
         F.avg("rmse").alias("mean_rmse"), F.avg("mae").alias("mean_mae"), F.avg("mape").alias("mean_mape"),
         F.stddev_pop("rmse").alias("std_rmse"), F.count(F.lit(1)).alias("n_splits"),
     )
+    out = every.join(means, [*spec.keys, "model"], "left")
+    return out.withColumn("n_splits", F.coalesce("n_splits", F.lit(0).cast("bigint")))
 
 
 # -- ranking -----------------------------------------------------------------

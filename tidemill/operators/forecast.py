@@ -286,10 +286,11 @@ def arima_order_search(
         grams = grams.withColumn("_best", _order_picker(k, max_p, max_q, d == 0)("_g", "nobs"))
         picked = grams.select(*spec.keys, F.lit(d).alias("d"), "nobs", "_best.*")
         best = picked if best is None else best.unionByName(picked)
-    found = best.where(F.col("aic").isNotNull())
-    return found.groupBy(*spec.keys).agg(
-        F.min_by(F.struct("p", "d", "q", "aic", "nobs"), F.struct("aic", "d", "p", "q")).alias("_b")
-    ).select(*spec.keys, "_b.*")
+    # only fitted orders compete; a series without any keeps its row and says so
+    order = F.when(F.col("aic").isNotNull(), F.struct("aic", "d", "p", "q"))
+    found = best.groupBy(*spec.keys).agg(F.min_by(F.struct("p", "d", "q", "aic", "nobs"), order).alias("_b"))
+    status = F.when(F.col("_b").isNull(), F.lit("too_short")).otherwise(F.lit("ok"))
+    return found.select(*spec.keys, "_b.*", status.alias("status"))
 
 
 def _order_picker(k: int, max_p: int, max_q: int, constant: bool):
@@ -374,8 +375,11 @@ def _dot(coef: Column, terms: Sequence[Column], offset: int = 0) -> Column:
 def trend_seasonal_components(
     df: DataFrame, spec: SeriesSpec, horizon: int = 12, shape: TrendSeason = TrendSeason()
 ) -> DataFrame:
-    """Trend, season and their sum for history and future; step is 0 or less in the history."""
-    fits = fit_trend_seasonal(df, spec, shape).where(F.col("coef").isNotNull())
+    """Trend, season and their sum for history and future; step is 0 or less in the history.
+
+    A series that cannot be fitted (no value but null or zero) keeps its rows, with nulls.
+    """
+    fits = fit_trend_seasonal(df, spec, shape)
     index = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1 + horizon))
     rows = fits.withColumn("i", index)
     trend, season = shape.terms(spec, F.col("i"), F.col("n"))

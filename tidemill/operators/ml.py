@@ -145,6 +145,8 @@ def forecast_recursive(
         F.max(spec.time).alias("last"),
         F.max("n").alias("_n"),
     )
+    # a series without a whole stretch of recent values keeps its rows, without figures
+    unfit = state.where(F.size("_values") != REACH).select(*spec.keys, "last", F.array_repeat(F.lit(None).cast("double"), horizon).alias("path"))
     state = state.where(F.size("_values") == REACH)
     scorer = model.copy().setPredictionCol("_yhat")
     for h in range(1, horizon + 1):
@@ -155,8 +157,9 @@ def forecast_recursive(
         # a growing chain of projections is planned again at every step
         if h % cut_every == 0 and h < horizon:
             state = cut_lineage(state)
-    paths = state.withColumn("path", F.reverse(F.slice("_values", 1, horizon)))
-    return long_forecast(paths, spec, name)
+    paths = state.select(*spec.keys, "last", F.reverse(F.slice("_values", 1, horizon)).alias("path")).unionByName(unfit)
+    status = F.when(F.col("yhat").isNull(), F.lit("too_short")).otherwise(F.lit("ok"))
+    return long_forecast(paths, spec, name).withColumn("status", status)
 
 
 # -- permutation importance --------------------------------------------------

@@ -92,6 +92,27 @@ def rollup_by_dimension(
     )
 
 
+def rollup_losses(facts: DataFrame, ts: str, dimension: DataFrame | None = None, on: tuple[str, str] | None = None) -> DataFrame:
+    """One row: facts in all, without a timestamp, and dated but without a row of the dimension.
+
+    The last two are the facts a roll-up leaves out. Facts are combined per join key before the join.
+    """
+    if dimension is None or on is None:
+        return facts.agg(
+            F.count(F.lit(1)).alias("facts"), F.count_if(F.col(ts).isNull()).alias("undated"), F.lit(0).cast("bigint").alias("unmatched")
+        )
+    fact_key, dim_key = on
+    per_key = facts.groupBy(F.col(fact_key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.count(F.col(ts)).alias("_dated"))
+    known = dimension.select(F.col(dim_key).alias("_k"), F.lit(True).alias("_known")).where(F.col("_k").isNotNull()).distinct()
+    counted = per_key.join(known, "_k", "left")
+    zero = F.lit(0).cast("bigint")
+    return counted.agg(
+        F.coalesce(F.sum("_n"), zero).alias("facts"),
+        F.coalesce(F.sum(F.col("_n") - F.col("_dated")), zero).alias("undated"),
+        F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("_dated"))), zero).alias("unmatched"),
+    )
+
+
 def drop_partial_last(series: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Series without its newest step, which is often still filling up."""
     newest = F.max(spec.time).over(spec.whole())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators import anomaly, features, prepare
+from tidemill.operators import anomaly, features, prepare, rollup
 from tidemill.operators.rollup import drop_partial_last
 from tidemill.plans import tables as tb
 from tidemill.plans.registry import query, r, rs
@@ -120,6 +120,18 @@ def dedupe_keep_last(spark, folder):
     return prepare.dedupe_keep_last(ingest(spark, folder), CUST, "seq")
 
 
+@query(
+    "rollup_losses",
+    """SELECT COUNT(*) AS facts, COUNT(*) - COUNT(o_orderdate) AS undated,
+        COUNT(*) FILTER (o_orderdate IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')) AS unmatched
+        FROM orders""",
+)
+def rollup_losses(spark, folder):
+    """Orders that a roll-up over one segment's customers would leave out."""
+    customers = read_table(spark, folder, "customer").where(F.col("c_mktsegment") == "BUILDING")
+    return rollup.rollup_losses(tb.orders(spark, folder), "o_orderdate", customers, ("o_custkey", "c_custkey"))
+
+
 @query(
     "cleaning_report",
     f"""WITH {INGEST_SQL},
