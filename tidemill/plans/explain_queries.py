@@ -13,7 +13,7 @@ from tidemill.plans import feature_queries as fq
 from tidemill.plans import model_queries as mq
 from tidemill.plans import tables as tb
 from tidemill.plans.registry import query, r, rs
-from tidemill.session import scratch_folder
+from tidemill.session import cut_lineage, scratch_folder
 from tidemill.sources import models
 
 SEG = tb.SEGMENT
@@ -24,8 +24,8 @@ series = mq.series
 
 
 def trained(spark, folder):
-    """Rows of all segments, split by time; kept in memory for the passes of a fit."""
-    rows = ml.model_rows(series(spark, folder), SEG).persist()
+    """Rows of all segments, split by time; written once for the passes of a fit."""
+    rows = cut_lineage(ml.model_rows(series(spark, folder), SEG))
     return (rows, *ml.split_rows(rows, mq.TEST))
 
 
@@ -109,7 +109,7 @@ def all_model_predictions(spark, folder) -> DataFrame:
 @query("evaluate_all_models")
 def evaluate_all_models(spark, folder):
     """All models fitted and tested on the same year: errors, rank and residual diagnostics."""
-    predictions = all_model_predictions(spark, folder).persist()
+    predictions = cut_lineage(all_model_predictions(spark, folder))
     ranked = evaluate.rank_models(evaluate.regression_metrics(predictions, SEG), SEG)
     diagnostics = evaluate.residual_report(predictions, SEG).select(
         "segment", "model", F.col("mean").alias("residual_mean"), "shapiro_p", "runs_p"
