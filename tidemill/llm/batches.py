@@ -16,16 +16,18 @@ executor gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 BUCKET_KEYS = 2_000_000
 NO_ID = np.iinfo(np.int64).max
 ASK = "batch int, bucket int, payload binary"
@@ -133,6 +135,16 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.take(pa.array(np.argsort(ids_of(table), kind="stable")))
 
 
+def small_parts(table: pa.RecordBatch, text: str = "text", most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch of Spark's as slices of about ``most`` bytes of text (or one row), so that arrays over its words stay small."""
+    sizes = np.asarray(pc.binary_length(table.column(text)).fill_null(0)).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // most
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+        if b > a:
+            yield table.slice(a, b - a)
+
+
 def int_at(table: pa.Table, column: str, default: int = 0) -> int:
     """The value that all rows of a group share."""
     return table.column(column)[0].as_py() if table.num_rows else default

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import words
+from tidemill.llm.batches import small_parts
 from tidemill.llm.counters import corpus_counters
 from tidemill.session import cut_lineage
 
@@ -106,14 +107,13 @@ def log_ratio(docs: DataFrame, labels: DataFrame, s: Settings, doc_id: str, text
     rows = rows.join(F.broadcast(sample), rows["doc_id"] == sample["labelled_id"], "left").select("text", "labelled_good")
     size = s.tables * s.buckets
 
-    def add(t: pa.RecordBatch, counters: np.ndarray) -> None:
-        texts = words.texts_of(t.column("text"))
-        if not texts:
-            return
-        f = Features(texts, s)
-        counters[:size] += f.counts(np.ones(len(texts), bool), s)
-        good = np.asarray(t.column("labelled_good").fill_null(False).to_numpy(zero_copy_only=False), bool)
-        counters[size:] += f.counts(good, s)
+    def add(table: pa.RecordBatch, counters: np.ndarray) -> None:
+        for t in small_parts(table):
+            texts = words.texts_of(t.column("text"))
+            f = Features(texts, s)
+            counters[:size] += f.counts(np.ones(len(texts), bool), s)
+            good = np.asarray(t.column("labelled_good").fill_null(False).to_numpy(zero_copy_only=False), bool)
+            counters[size:] += f.counts(good, s)
 
     counted = corpus_counters(rows, 2 * size, add).astype(float)
     raw, target = counted[:size], counted[size:]
@@ -169,7 +169,7 @@ def importance_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def score(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tables:
+        for t in (part for table in tables for part in small_parts(table)):
             texts = words.texts_of(t.column("text"))
             evidence, weight, key = judged(t.column("doc_id").to_pylist(), texts, ratio, s)
             yield pa.RecordBatch.from_pydict(
@@ -202,7 +202,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, s: Settings = Settings(),
     _, least, ratio = importance_scores(docs, labels, s, doc_id, text)
 
     def keep(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tables:
+        for t in (part for table in tables for part in small_parts(table, text)):
             ids = t.column(doc_id).cast(pa.int64()).to_pylist()
             yield t.filter(pa.array(judged(ids, words.texts_of(t.column(text)), ratio, s)[2] >= least))
 
