@@ -174,3 +174,15 @@ def test_short_series_keep_their_rows(spark, spec):
         assert got["short"] == "Insufficient data" != got["long"]
     two = few.where("date < '2015-03-01'")
     assert {r.interpretation for r in evaluate.residual_normality(two, spec).collect()} == {"Insufficient data"}
+
+
+def test_failed_fits_are_counted_and_not_scored(spark, spec):
+    from tidemill.operators import evaluate, model_set
+
+    y = [100.0 + 10 * math.sin(k) + k for k in range(90)]
+    df = make_series(spark, {"long": y, "short": y[:20]})
+    names = ("moving_average", "arima", "sarima", "trend_seasonal")
+    failed = {r.model: (r.series, r.failed) for r in model_set.failed_fits(df, model_set.forecasts(df, spec, 3, names), spec, names).collect()}
+    assert failed["moving_average"] == (2, 0) and failed["sarima"] == (2, 1)
+    got = {(r.key, r.model) for r in evaluate.evaluate_all_models(df, spec, 6, ("moving_average", "sarima", "ridge")).collect()}
+    assert ("short", "sarima") not in got and {("long", "sarima"), ("long", "ridge"), ("short", "moving_average")} <= got

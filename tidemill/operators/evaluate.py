@@ -12,7 +12,8 @@ from tidemill.functions.columns import dbl, div, stable_round
 from tidemill.functions.distributions import normal_cdf, student_two_sided
 from tidemill.operators import describe as ds
 from tidemill.operators import stattests as st
-from tidemill.operators.forecast import forecast_arima, forecast_moving_average
+from tidemill.operators.model_set import MODELS, backtest_predictions, fold_forecasts
+from tidemill.session import cut_lineage
 from tidemill.spec import SeriesSpec
 
 
@@ -220,21 +221,12 @@ def walk_forward_folds(df: DataFrame, spec: SeriesSpec, n_splits: int = 5, test_
 def walk_forward_predictions(
     df: DataFrame, spec: SeriesSpec, n_splits: int = 5, test_size: int = 12, models: tuple[str, ...] = ("moving_average", "arima")
 ) -> DataFrame:
-    """Test rows of every fold with the forecast of each model fitted on the fold's past."""
+    """Test rows of every fold with the forecast of each model (any of ``model_set.MODELS``) fitted on the fold's past."""
     fs = spec.with_keys(*spec.keys, "fold")
     folds = walk_forward_folds(df, spec, n_splits, test_size)
     train = folds.where(F.col("part") == "train").drop("part")
     test = folds.where(F.col("part") == "test").select(*fs.ids, spec.y.alias("y"))
-    fits = {
-        "moving_average": lambda: forecast_moving_average(train, fs, 3, test_size),
-        # a series the model could not fit is no result of the model
-        "arima": lambda: forecast_arima(train, fs, (2, 1, 2), test_size).where(F.col("status") == "ok").drop("status"),
-    }
-    ahead = None
-    for name in models:
-        one = fits[name]()
-        ahead = one if ahead is None else ahead.unionByName(one)
-    return ahead.join(test, fs.ids)
+    return fold_forecasts(train, spec, test_size, models, range(1, n_splits + 1)).join(test, fs.ids)
 
 
 def walk_forward_cv(
@@ -255,6 +247,15 @@ def walk_forward_cv(
     return out.withColumn("n_splits", F.coalesce("n_splits", F.lit(0).cast("bigint")))
 
 
+def evaluate_all_models(df: DataFrame, spec: SeriesSpec, test_size: int = 12, models: tuple[str, ...] = tuple(MODELS)) -> DataFrame:
+    """All models fitted and tested on the same rows: errors, rank and residual diagnostics per key and model."""
+    predictions = cut_lineage(backtest_predictions(df, spec, test_size, models))
+    ranked = rank_models(regression_metrics(predictions, spec), spec)
+    keys = [*spec.keys, "model"]
+    diagnostics = residual_report(predictions, spec).select(*keys, F.col("mean").alias("residual_mean"), "shapiro_p", "runs_p")
+    return ranked.join(diagnostics, keys)
+
+
 # -- ranking -----------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators import evaluate, explain, forecast, insights, ml
+from tidemill.operators import evaluate, explain, insights, ml, model_set
 from tidemill.operators import features as ft
 from tidemill.plans import feature_queries as fq
 from tidemill.plans import model_queries as mq
@@ -86,35 +86,18 @@ def model_registry(spark, folder):
     )
 
 
-def all_model_predictions(spark, folder) -> DataFrame:
-    """Last-year test of every model: keys, model, date, y, yhat."""
-    df = series(spark, folder)
-    rows, train_rows, test_rows = trained(spark, folder)
-    marked = mq.prepare.split_last_n(df, SEG, mq.TEST)
-    train = marked.where(F.col("split") == "train").drop("split")
-    actual = marked.where(F.col("split") == "test").select("segment", "date", "y")
-    ahead = forecast.forecast_moving_average(train, SEG, 3, mq.TEST)
-    for one in (
-        forecast.forecast_arima(train, SEG, (2, 1, 2), mq.TEST).where(F.col("status") == "ok").drop("status"),
-        forecast.forecast_sarima(train, SEG, mq.TEST).where(F.col("status") == "ok").drop("status"),
-        forecast.forecast_trend_seasonal(train, SEG, mq.TEST),
-    ):
-        ahead = ahead.unionByName(one)
-    classical = ahead.drop("step").join(actual, ["segment", "date"])
-    pooled = ml.predict(ml.fit_ridge(train_rows), test_rows, SEG, "ridge")
-    pooled = pooled.unionByName(ml.predict(ml.fit_random_forest(train_rows), test_rows, SEG, "random_forest"))
-    return classical.unionByName(pooled)
-
-
 @query("evaluate_all_models")
 def evaluate_all_models(spark, folder):
-    """All models fitted and tested on the same year: errors, rank and residual diagnostics."""
-    predictions = cut_lineage(all_model_predictions(spark, folder))
-    ranked = evaluate.rank_models(evaluate.regression_metrics(predictions, SEG), SEG)
-    diagnostics = evaluate.residual_report(predictions, SEG).select(
-        "segment", "model", F.col("mean").alias("residual_mean"), "shapiro_p", "runs_p"
-    )
-    return ranked.join(diagnostics, ["segment", "model"])
+    """Seven models on the last year of every segment."""
+    return evaluate.evaluate_all_models(series(spark, folder), SEG, mq.TEST)
+
+
+@query("failed_fits")
+def failed_fits(spark, folder):
+    """Series that each model of single series could not fit, over sparse customer series."""
+    df = tb.customer_series(spark, folder).drop("n")
+    names = tuple(model_set.SERIES_MODELS)
+    return model_set.failed_fits(df, model_set.forecasts(df, tb.CUSTOMER, 3, names), tb.CUSTOMER, names)
 
 
 # -- importance --------------------------------------------------------------
