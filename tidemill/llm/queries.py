@@ -94,14 +94,43 @@ def op10(spark, folder):
     return url_filter(table(spark, folder, "pages"))
 
 
-@query("op1_substring_dedup")
+_OP1_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS passage FROM s),
+f AS (SELECT doc_id, i, first_value(doc_id) OVER e AS d0, first_value(i) OVER e AS i0 FROM k WINDOW e AS (PARTITION BY passage ORDER BY doc_id, i)),
+g AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM f WHERE doc_id <> d0 OR i <> i0)),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+c AS (SELECT p.doc_id, count(g.j) AS n_removed, string_agg(word, ' ' ORDER BY p.j) FILTER (WHERE g.j IS NULL) AS kept
+      FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.j = p.j GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN c USING (doc_id)"""
+
+
+@query("op1_substring_dedup", _OP1_SQL)
 def op1(spark, folder):
     """Words left of every document once passages of 20 words that occur earlier are gone."""
     kept = substring_dedup(table(spark, folder, "documents"), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op9_ngram_jaccard_join")
+_OP9_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '{WORD}') AS ws FROM documents),
+e AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+k AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, other) AS (SELECT a, b FROM k UNION SELECT r.id, k.b FROM r JOIN k ON r.other = k.a),
+m AS (SELECT id, min(other) AS least FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) AS component_id,
+    w.doc_id = least(w.doc_id, coalesce(m.least, w.doc_id)) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = w.doc_id"""
+
+
+@query("op9_ngram_jaccard_join", _OP9_SQL)
 def op9(spark, folder):
     """Components of documents whose sets of 3-word shingles overlap by 0.9 or more."""
     return jaccard_components(table(spark, folder, "documents"), n=3, percent=90)
