@@ -9,6 +9,7 @@ false positives. Exact token counts come back to the batches that use the tokens
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,27 +82,62 @@ def levels(keys: np.ndarray, bits: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
-ENTRY = np.dtype([("key", "<u8"), ("count", "<u4")])
+def sent(batch: int, keys: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.Table:
+    """One row per bucket: its keys, then their counts; columns compress where rows would not."""
+    order, met, bounds = batches.dealt(keys, n_buckets)
+    keys, counts = keys[order], counts[order].astype(np.uint32)
+    blobs = [keys[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+    return pa.table(
+        {
+            "batch": pa.array(np.full(len(met), batch), pa.int32()), "bucket": pa.array(met, pa.int32()), "payload": pa.array(blobs, pa.binary()),
+        }
+    )
 
 
-def entries(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    out = np.empty(len(keys), ENTRY)
-    out["key"], out["count"] = keys, counts
-    return out
+def received(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 12
+    return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint32, n, 8 * n)
 
 
-def summed(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their total counts."""
-    all_entries = np.concatenate([np.frombuffer(b, ENTRY) for b in blobs])
-    keys, which = np.unique(all_entries["key"], return_inverse=True)
-    return keys, np.bincount(which, all_entries["count"], len(keys)).astype(np.int64)
+    keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(which, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
+
+REST = np.uint64((1 << 40) - 1)
+
+
+def short_keys(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket and 40 more bits of a bigram's key: enough among the bounded number of keys of a bucket."""
+    bucket = (keys & np.uint64(0xFFFFFFFF)) % np.uint64(n_buckets)
+    return (bucket << np.uint64(40)) | (keys >> np.uint64(24))
+
+
+def bigrams_sent(keys: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.Table:
+    """As ``sent``, with keys that are ``short_keys``: 5 bytes each, the bucket goes without saying."""
+    met, first = np.unique(keys >> np.uint64(40), return_index=True)
+    bounds = np.append(first, len(keys))
+    rest, counts = keys & REST, counts.astype(np.uint32)
+    low, high = rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
+    blobs = [low[a:b].tobytes() + counts[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+    return pa.table(
+        {"batch": pa.array(np.zeros(len(met)), pa.int32()), "bucket": pa.array(met.astype(np.int32)), "payload": pa.array(blobs, pa.binary())}
+    )
+
+
+def bigrams_received(bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 9
+    low, high = np.frombuffer(blob, np.uint32, n), np.frombuffer(blob, np.uint8, n, 8 * n)
+    return (np.uint64(bucket << 40) | (high.astype(np.uint64) << np.uint64(32)) | low), np.frombuffer(blob, np.uint32, n, 4 * n)
 
 
 def bloom_filter(counted: DataFrame, model: Model) -> np.ndarray:
     """Bits set by every bucket of bigram counts, united by segment; ``model.bits`` bits reach the driver."""
 
     def set_bits(table: pa.Table) -> pa.Table:
-        keys, counts = summed(table.column("payload").to_pylist())
+        bucket = batches.int_at(table, "bucket")
+        keys, counts = summed([bigrams_received(bucket, b) for b in table.column("payload").to_pylist()])
         level = np.floor(np.log2(counts)).astype(np.int64)
         at = [places(keys[level >= q], q, model).ravel() for q in range(1, int(level.max(initial=0)) + 1)]
         at = np.unique(np.concatenate(at)) if at else np.empty(0, np.uint64)
@@ -146,44 +182,48 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, model: Model = Mo
     dealt = batches.batched(rows, carry=("held_out",))
     n_tokens, n_bigrams = dealt.buckets(TOKENS_PER_BYTE), dealt.buckets(BIGRAMS_PER_BYTE)
 
-    def trained(table: pa.Table) -> tuple:
+    def trained(table: pa.Table | pa.RecordBatch) -> tuple:
         """All tokens of a batch, and a mask of those to learn from."""
         numbers, bounds, hashes = tokens(words.texts_of(table.column("text")))
         learn = ~np.asarray(table.column("held_out").to_numpy(zero_copy_only=False), bool)
         return numbers, bounds, hashes, np.repeat(learn, np.diff(bounds))
 
-    def count_tokens(table: pa.Table) -> pa.Table:
+    def tokens_sent(table: pa.Table | pa.RecordBatch, batch: int) -> pa.Table:
         numbers, _, hashes, learn = trained(table)
-        counts = np.bincount(numbers[learn], minlength=len(hashes))
-        return batches.ask(batches.int_at(table, "batch"), hashes, entries(hashes, counts), n_tokens)
+        return sent(batch, hashes, np.bincount(numbers[learn], minlength=len(hashes)), n_tokens)
 
-    def count_bigrams(table: pa.Table) -> pa.Table:
-        numbers, bounds, hashes, learn = trained(table)
-        keys, counts = np.unique(bigrams(hashes[numbers], bounds)[learn], return_counts=True)
-        return batches.ask(batches.int_at(table, "batch"), keys, entries(keys, counts), n_bigrams)
+    def all_tokens(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in (part for table in tables for part in batches.small_parts(table, most=batches.BATCH_BYTES)):
+            yield from tokens_sent(t, 0).to_batches()
+
+    def all_bigrams(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in (part for table in tables for part in batches.small_parts(table, most=batches.BATCH_BYTES)):
+            numbers, bounds, hashes, learn = trained(t)
+            keys, counts = np.unique(short_keys(bigrams(hashes[numbers], bounds)[learn], n_bigrams), return_counts=True)
+            yield from bigrams_sent(keys, counts, n_bigrams).to_batches()
 
     def total(table: pa.Table) -> pa.Table:
-        blobs = table.column("payload").to_pylist()
-        keys, counts = summed(blobs)
-        given = [counts[np.searchsorted(keys, np.frombuffer(b, ENTRY)["key"])].tobytes() for b in blobs]
-        return batches.answer_rows(table, given)
+        parts = [received(b) for b in table.column("payload").to_pylist()]
+        keys, counts = summed(parts)
+        return batches.answer_rows(table, [counts[np.searchsorted(keys, k)].tobytes() for k, _ in parts])
 
     def sizes(table: pa.Table) -> pa.Table:
-        _, counts = summed(table.column("payload").to_pylist())
+        _, counts = summed([received(b) for b in table.column("payload").to_pylist()])
         return pa.table({"n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([int((counts > 0).sum())], pa.int64())})
 
-    by_batch = dealt.docs.groupBy("batch")
-    asked = by_batch.applyInArrow(count_tokens, batches.ASK)
-    whole = asked.groupBy("bucket").applyInArrow(sizes, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
+    # sizes and bigrams are counted where the documents lie; only the scoring below deals out texts
+    plain = dealt.docs.select("text", "held_out")
+    per_bucket = plain.mapInArrow(all_tokens, batches.ASK).groupBy("bucket").applyInArrow(sizes, "n bigint, v bigint")
+    whole = per_bucket.agg(F.sum("n"), F.sum("v")).first()
     n_train, vocabulary = int(whole[0] or 0), int(whole[1] or 0)
-    bits = bloom_filter(by_batch.applyInArrow(count_bigrams, batches.ASK), model)
+    bits = bloom_filter(plain.mapInArrow(all_bigrams, batches.ASK), model)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers, bounds, hashes, _ = trained(left)
         counts = batches.answers(right, hashes, n_tokens, np.int64)
         unigram = (counts + 0.5) / (n_train + 0.5 * (vocabulary + 1))
-        keys, which = np.unique(bigrams(hashes[numbers], bounds), return_inverse=True)
+        keys, which = np.unique(short_keys(bigrams(hashes[numbers], bounds), n_bigrams), return_inverse=True)
         level = levels(keys, shared.value, model)[which]
         before = np.empty_like(numbers)
         before[1:] = numbers[:-1]
@@ -204,5 +244,7 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, model: Model = Mo
             }
         )
 
+    by_batch = dealt.docs.groupBy("batch")
+    asked = by_batch.applyInArrow(lambda t: tokens_sent(t, batches.int_at(t, "batch")), batches.ASK)
     counted = asked.groupBy("bucket").applyInArrow(total, batches.ANSWER)
     return by_batch.cogroup(counted.groupBy("batch")).applyInArrow(score, OUT)
