@@ -18,6 +18,7 @@ from tidemill.llm.packing import word_count
 from tidemill.session import cut_lineage
 
 GRID, ROUNDS, DIGITS = 16, 7, 6
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,11 @@ def mixed_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", tex
     plan = plan.withColumn("rest", F.floor(F.greatest(F.col("repeats") - F.col("whole"), F.lit(0.0)) * F.col("tokens") + F.lit(1e-6)))
     plan = plan.withColumn("blocks", F.ceil(F.col("docs") / F.lit(mix.block_docs)))
     seed = F.lit(mix.seed)
-    rows = rows.join(plan, "key").withColumn("block", number(draw(seed, F.coalesce("doc_id", F.lit(-1)), F.col("n_tokens"))) % F.col("blocks"))
+    # the plan of a source is met under several salts, so that a hot source's rows do not meet it in one task
+    drawn = number(draw(seed, F.coalesce("doc_id", F.lit(-1)), F.col("n_tokens")))
+    rows = rows.withColumn("drawn", drawn).withColumn("salt", F.col("drawn") % F.lit(SALTS))
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    rows = rows.join(plan, ["key", "salt"]).withColumn("block", F.col("drawn") % F.col("blocks"))
 
     blocks = rows.groupBy("key", "block").agg(F.sum("n_tokens").alias("block_tokens"), F.first("whole").alias("pass"))
     permuted = Window.partitionBy("key").orderBy(draw(seed, F.col("pass"), F.col("key"), F.col("block"))).rowsBetween(Window.unboundedPreceding, -1)
