@@ -213,9 +213,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     dealt = batches.batched(docs, doc_id, text)
 
     def count(table: pa.RecordBatch, counters: np.ndarray) -> None:
-        sets = shingles(words.texts_of(table.column("text")), n)
-        if sets:
-            counters += np.bincount(slot(np.concatenate(sets)), minlength=COUNTERS)
+        for t in batches.small_parts(table):
+            found = np.concatenate(shingles(words.texts_of(t.column("text")), n))
+            counters += np.bincount(slot(found), minlength=COUNTERS)
 
     counted = corpus_counters(dealt.docs.select("text"), COUNTERS, count)
     rarity = np.ceil(np.log2(counted + 1)).astype(np.uint8)  # one of 64 classes
@@ -247,7 +247,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
         return pa.table({"batch": batch, "bucket": pa.array(met, pa.int32()), "payload": pa.array(blobs, pa.binary())})
 
     def describe(tables):
-        for t in tables:
+        for t in (part for table in tables for part in batches.small_parts(table)):
             own = Sets(t, n)
             yield pa.RecordBatch.from_pydict(
                 {
