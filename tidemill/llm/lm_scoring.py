@@ -1,10 +1,11 @@
 """Scores of texts by a bigram model whose counts lie in a log-frequency Bloom filter.
 
-Counts of bigrams are summed over all training documents and quantised to floor(log2(count)). A
-bigram of level q enters a filter of fixed size q times, as (bigram, 1) .. (bigram, q); bits are set by
-the workers that counted them and sent in segments. A scorer asks for (bigram, 1), (bigram, 2), ... until
-an answer is no; the level found stands for a count of 2 ** level, never more than was counted but for
-false positives. Exact token counts come back to the batches that use the tokens.
+Counts of bigrams are summed over all training documents and quantised to level 1 + floor(log2(count)). A
+bigram of level q enters a filter q times, as (bigram, 1) .. (bigram, q). The filter is split by bucket of
+the bigram; a bucket's part has so many bits an entry, however large the corpus. A scorer asks for
+(bigram, 1), (bigram, 2), ... until an answer is no; the level found stands for a count of 2 ** (level - 1),
+never more than was counted but for false positives. Nothing of it is broadcast: the bucket that counts its
+bigrams probes its part for the batches that ask, as another bucket gives them the exact counts of tokens.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from tidemill.llm import batches, words
 END = b" "  # closing token of every text; no word holds a space
 END_HASH = words.hashes_of([END])[0]
 TOKENS_PER_BYTE, BIGRAMS_PER_BYTE = 0.06, 0.15
-SEGMENT_BITS = 1 << 20
 OUT = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, "
     "n_words bigint"
@@ -31,7 +31,8 @@ OUT = (
 
 @dataclass(frozen=True)
 class Model:
-    """``bits``: size of the filter, a power of two, the bound of what is broadcast; ``probes`` bits an entry.
+    """``bits``: about the largest part of the filter, more buckets are taken rather than larger parts; ``bits_per_entry``
+    and ``probes``: of a filter of any size.
 
     ``bigram_share``: part of each token's probability that comes from bigrams.
     """
@@ -39,6 +40,7 @@ class Model:
     bits: int = 1 << 28
     probes: int = 4
     bigram_share: float = 0.2
+    bits_per_entry: int = 16
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -60,23 +62,33 @@ def bigrams(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return words.mixed(before * words.MIX_A + h)
 
 
-def places(keys: np.ndarray, level: int, model: Model) -> np.ndarray:
-    """Bits of (key, level), one row per key: double hashing."""
+def probe(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bit of each (key, level) and the step to its next, before the remainder by the size: double hashing."""
     first = words.mixed(keys + np.uint64(level * int(words.MIX_B) & (1 << 64) - 1))
-    step = words.mixed(first) | np.uint64(1)
-    return (first[:, None] + step[:, None] * np.arange(model.probes, dtype=np.uint64)) & np.uint64(model.bits - 1)
+    return first, words.mixed(first) | np.uint64(1)
+
+
+def filter_bits(keys: np.ndarray, counts: np.ndarray, model: Model) -> np.ndarray:
+    """The part of the filter that holds these keys, as large as its entries ask."""
+    level = np.frexp(counts.astype(float))[1]  # 1 + floor(log2(count)), 0 for 0
+    bits = np.zeros(-(-int(level.sum()) * model.bits_per_entry // 64) * 64, bool)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        first, step = probe(keys[level >= q], q)
+        for k in range(model.probes):
+            bits[(first + step * np.uint64(k)) % np.uint64(len(bits))] = True
+    return np.packbits(bits, bitorder="little")
 
 
 def levels(keys: np.ndarray, bits: np.ndarray, model: Model) -> np.ndarray:
     """Level of each key by repeated membership probes."""
-    out = np.zeros(len(keys), np.int64)
-    left, level = np.arange(len(keys)), 1
+    out = np.zeros(len(keys), np.uint8)
+    left, level = np.arange(len(keys) if len(bits) else 0), 1
     while len(left) and level < 63:
-        at = places(keys[left], level, model)
-        held = np.ones(len(left), bool)
+        first, step = probe(keys[left], level)
         for k in range(model.probes):
-            held &= (bits[(at[:, k] >> np.uint64(3)).astype(np.int64)] >> (at[:, k] & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        left = left[held]
+            at = (first + step * np.uint64(k)) % np.uint64(8 * len(bits))
+            held = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            left, first, step = left[held], first[held], step[held]
         out[left] = level
         level += 1
     return out
@@ -114,15 +126,18 @@ def short_keys(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return (bucket << np.uint64(40)) | (keys >> np.uint64(24))
 
 
-def bigrams_sent(keys: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.Table:
-    """As ``sent``, with keys that are ``short_keys``: 5 bytes each, the bucket goes without saying."""
+def bigrams_sent(batch: int, keys: np.ndarray, counts: np.ndarray, shift: int) -> pa.Table:
+    """As ``sent``, with sorted ``short_keys``: 5 bytes each, the bucket goes without saying. ``shift`` tells these buckets from those of tokens."""
     met, first = np.unique(keys >> np.uint64(40), return_index=True)
     bounds = np.append(first, len(keys))
     rest, counts = keys & REST, counts.astype(np.uint32)
     low, high = rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
     blobs = [low[a:b].tobytes() + counts[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
     return pa.table(
-        {"batch": pa.array(np.zeros(len(met)), pa.int32()), "bucket": pa.array(met.astype(np.int32)), "payload": pa.array(blobs, pa.binary())}
+        {
+            "batch": pa.array(np.full(len(met), batch), pa.int32()), "bucket": pa.array(met.astype(np.int32) + shift, pa.int32()),
+            "payload": pa.array(blobs, pa.binary()),
+        }
     )
 
 
@@ -132,36 +147,6 @@ def bigrams_received(bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.uint64(bucket << 40) | (high.astype(np.uint64) << np.uint64(32)) | low), np.frombuffer(blob, np.uint32, n, 4 * n)
 
 
-def bloom_filter(counted: DataFrame, model: Model) -> np.ndarray:
-    """Bits set by every bucket of bigram counts, united by segment; ``model.bits`` bits reach the driver."""
-
-    def set_bits(table: pa.Table) -> pa.Table:
-        bucket = batches.int_at(table, "bucket")
-        keys, counts = summed([bigrams_received(bucket, b) for b in table.column("payload").to_pylist()])
-        level = np.floor(np.log2(counts)).astype(np.int64)
-        at = [places(keys[level >= q], q, model).ravel() for q in range(1, int(level.max(initial=0)) + 1)]
-        at = np.unique(np.concatenate(at)) if at else np.empty(0, np.uint64)
-        segment = (at // np.uint64(SEGMENT_BITS)).astype(np.int64)
-        met, first = np.unique(segment, return_index=True)
-        parts = np.split((at % np.uint64(SEGMENT_BITS)).astype(np.uint32), first[1:]) if len(met) else []
-        return pa.table({"segment": pa.array(met, pa.int32()), "places": pa.array([p.tobytes() for p in parts], pa.binary())})
-
-    def unite(table: pa.Table) -> pa.Table:
-        held = np.zeros(SEGMENT_BITS, bool)
-        for blob in table.column("places").to_pylist():
-            held[np.frombuffer(blob, np.uint32)] = True
-        packed = np.packbits(held, bitorder="little").tobytes()
-        return pa.table({"segment": table.column("segment")[:1], "places": pa.array([packed], pa.binary())})
-
-    schema = "segment int, places binary"
-    segments = counted.groupBy("bucket").applyInArrow(set_bits, schema).groupBy("segment").applyInArrow(unite, schema)
-    bits = np.zeros(model.bits // 8, np.uint8)
-    for row in segments.toLocalIterator():
-        at = row["segment"] * SEGMENT_BITS // 8
-        bits[at : at + SEGMENT_BITS // 8] = np.frombuffer(row["places"], np.uint8)
-    return bits
-
-
 def lm_scores(docs: DataFrame, held_out: Column | None = None, model: Model = Model(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_words) for every row.
 
@@ -172,15 +157,16 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, model: Model = Mo
 
     A null text is empty: one end token. Null ids are training rows; repeated ids and rows give one
     result each; other columns are ignored. Without training rows every count is zero. Token
-    identity is that of 64-bit hashes. Broadcast: ``model.bits`` / 8 bytes, whatever the corpus; a corpus with
-    more bigrams of count 2 and over than bits / (6 * probes) raises the share of false positives, drops none.
+    identity is that of 64-bit hashes. The filter has ``model.bits_per_entry`` bits for each level of each bigram, so the
+    share of false positives (0.24 % of probes by default) is the same for every corpus.
     """
-    if model.bits < SEGMENT_BITS or model.bits & (model.bits - 1):
-        raise ValueError("bits must be a power of two of at least one segment")
+    if min(model.bits, model.bits_per_entry, model.probes) < 1:
+        raise ValueError("bits, bits_per_entry and probes must be positive")
     flag = is_held_out(F.col(f"`{doc_id}`")) if held_out is None else held_out
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), flag.alias("held_out"))
     dealt = batches.batched(rows, carry=("held_out",))
-    n_tokens, n_bigrams = dealt.buckets(TOKENS_PER_BYTE), dealt.buckets(BIGRAMS_PER_BYTE)
+    n_tokens = dealt.buckets(TOKENS_PER_BYTE)
+    n_bigrams = max(dealt.buckets(BIGRAMS_PER_BYTE), -(-int(dealt.total_bytes * BIGRAMS_PER_BYTE) * model.bits_per_entry // model.bits))
 
     def trained(table: pa.Table | pa.RecordBatch) -> tuple:
         """All tokens of a batch, and a mask of those to learn from."""
@@ -196,12 +182,6 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, model: Model = Mo
         for t in (part for table in tables for part in batches.small_parts(table, most=batches.BATCH_BYTES)):
             yield from tokens_sent(t, 0).to_batches()
 
-    def all_bigrams(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in (part for table in tables for part in batches.small_parts(table, most=batches.BATCH_BYTES)):
-            numbers, bounds, hashes, learn = trained(t)
-            keys, counts = np.unique(short_keys(bigrams(hashes[numbers], bounds)[learn], n_bigrams), return_counts=True)
-            yield from bigrams_sent(keys, counts, n_bigrams).to_batches()
-
     def total(table: pa.Table) -> pa.Table:
         parts = [received(b) for b in table.column("payload").to_pylist()]
         keys, counts = summed(parts)
@@ -211,26 +191,46 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, model: Model = Mo
         _, counts = summed([received(b) for b in table.column("payload").to_pylist()])
         return pa.table({"n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([int((counts > 0).sum())], pa.int64())})
 
-    # sizes and bigrams are counted where the documents lie; only the scoring below deals out texts
+    # sizes are counted where the documents lie; only the scoring below deals out texts
     plain = dealt.docs.select("text", "held_out")
     per_bucket = plain.mapInArrow(all_tokens, batches.ASK).groupBy("bucket").applyInArrow(sizes, "n bigint, v bigint")
     whole = per_bucket.agg(F.sum("n"), F.sum("v")).first()
     n_train, vocabulary = int(whole[0] or 0), int(whole[1] or 0)
-    bits = bloom_filter(plain.mapInArrow(all_bigrams, batches.ASK), model)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def ask(table: pa.Table) -> pa.Table:
+        """Tokens and bigrams of a batch, each with how often the batch learns from it."""
+        batch = batches.int_at(table, "batch")
+        numbers, bounds, hashes, learn = trained(table)
+        counts = np.bincount(numbers[learn], minlength=len(hashes))
+        keys, which = np.unique(short_keys(bigrams(hashes[numbers], bounds), n_bigrams), return_inverse=True)
+        pairs = bigrams_sent(batch, keys, np.bincount(which[learn], minlength=len(keys)), n_tokens)
+        return pa.concat_tables([sent(batch, hashes, counts, n_tokens), pairs])
+
+    def answer(table: pa.Table) -> pa.Table:
+        """Counts of tokens, levels of bigrams."""
+        bucket = batches.int_at(table, "bucket")
+        if bucket < n_tokens:
+            return total(table)
+        parts = [bigrams_received(bucket - n_tokens, b) for b in table.column("payload").to_pylist()]
+        keys, counts = summed(parts)
+        level = levels(keys, filter_bits(keys, counts, model), model)
+        return batches.answer_rows(table, [level[np.searchsorted(keys, k)].tobytes() for k, _ in parts])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers, bounds, hashes, _ = trained(left)
-        counts = batches.answers(right, hashes, n_tokens, np.int64)
+        of_tokens = np.asarray(right.column("bucket")) < n_tokens
+        counts = batches.answers(right.filter(pa.array(of_tokens)), hashes, n_tokens, np.int64)
         unigram = (counts + 0.5) / (n_train + 0.5 * (vocabulary + 1))
         keys, which = np.unique(short_keys(bigrams(hashes[numbers], bounds), n_bigrams), return_inverse=True)
-        level = levels(keys, shared.value, model)[which]
+        # keys are in order, and so by bucket
+        given = right.filter(pa.array(~of_tokens)).sort_by("bucket").column("answer").to_pylist()
+        level = np.frombuffer(b"".join(given), np.uint8)[which]
         before = np.empty_like(numbers)
         before[1:] = numbers[:-1]
         end = np.flatnonzero(hashes == END_HASH)
         before[bounds[:-1]] = end[0] if len(end) else 0
         context = counts[before]
-        pair = np.where(level > 0, np.minimum(np.exp2(level), context), 0.0) / np.maximum(context, 1)
+        pair = np.where(level > 0, np.minimum(np.exp2(level - 1.0), context), 0.0) / np.maximum(context, 1)
         mixed = np.log10(model.bigram_share * pair + (1 - model.bigram_share) * unigram[numbers])
         base, at = np.log10(unigram)[numbers], bounds[:-1]
         n = np.diff(bounds)
@@ -245,6 +245,5 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, model: Model = Mo
         )
 
     by_batch = dealt.docs.groupBy("batch")
-    asked = by_batch.applyInArrow(lambda t: tokens_sent(t, batches.int_at(t, "batch")), batches.ASK)
-    counted = asked.groupBy("bucket").applyInArrow(total, batches.ANSWER)
+    counted = by_batch.applyInArrow(ask, batches.ASK).groupBy("bucket").applyInArrow(answer, batches.ANSWER)
     return by_batch.cogroup(counted.groupBy("batch")).applyInArrow(score, OUT)
