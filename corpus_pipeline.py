@@ -6,7 +6,7 @@ columns of documents; other columns are left out at the first stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.jaccard_join import jaccard_components
@@ -25,13 +25,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by 5-word shingles at Jaccard 0.8 or more.
+    """One row of each group linked by 5-word shingles at Jaccard 0.8 or more: of the least id, ids before nulls.
 
-    Rows that share a doc_id stay or go together; rows without an id stay where nothing with an id is linked.
+    Rows are told apart by a hash of all columns, equal rows count as one. Texts without words link with nothing: all of them stay.
     """
-    kept = jaccard_components(docs.select("doc_id", "text"), n=5, percent=80).groupBy("doc_id").agg(F.max("kept").alias("stays"))
-    kept = kept.where("stays").select(F.col("doc_id").alias("kept_id"))
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row"))
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    worded = rows.where(has_words)
+    kept = jaccard_components(worded, n=5, percent=80, row="row").where("kept").select("row").distinct()
+    equal = Window.partitionBy("row").orderBy("row")
+    stay = worded.join(kept, "row", "left_semi").withColumn("copy", F.row_number().over(equal)).where("copy = 1")
+    return stay.select(*COLUMNS).unionByName(rows.where(~has_words).select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

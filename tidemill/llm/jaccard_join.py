@@ -27,7 +27,7 @@ from tidemill.session import cut_lineage
 
 COUNTERS = 1 << 20
 BLOCK_SETS = 4096
-DOCS = "doc_id bigint, batch int, n_shingles bigint, digest binary"
+DOCS = "doc_id bigint, batch int, n_shingles bigint, digest binary, row bigint"
 LINKS = "a binary, b binary"
 
 
@@ -200,7 +200,9 @@ def exact_links(table: pa.Table, percent: int, rarity: np.ndarray) -> pa.Table:
     )
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", row: str | None = None
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     A document's set holds the distinct runs of ``n`` words, A-Z lower-cased; with fewer words, the whole
@@ -209,8 +211,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     word-less texts have no shingles and link with nothing: they are their own component. Rows with a
     null id take part, but never name a component (null if alone). Rows that share a doc_id each take
     part with their own text. Other columns are ignored. Token equality is that of 64-bit hashes.
+
+    ``row``: a bigint column that names rows. It is returned as ``row``, and kept is then true for one name in each component: the
+    least of the rows with the least id, ids before nulls.
     """
-    dealt = batches.batched(docs, doc_id, text)
+    named_rows = docs if row is None else docs.withColumnRenamed(row, "row")
+    dealt = batches.batched(named_rows, doc_id, text, () if row is None else ("row",))
 
     def count(table: pa.RecordBatch, counters: np.ndarray) -> None:
         for t in batches.small_parts(table):
@@ -252,7 +258,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": t.column("doc_id"), "batch": t.column("batch"), "n_shingles": pa.array(own.sizes, pa.int64()),
-                    "digest": pa.array(own.of_doc, pa.binary()),
+                    "digest": pa.array(own.of_doc, pa.binary()), "row": pa.nulls(t.num_rows, pa.int64()) if row is None else t.column("row"),
                 }
             )
 
@@ -290,8 +296,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     links = sets.groupBy("family", "i", "j").applyInArrow(lambda t: exact_links(t, percent, rarity), LINKS)
     found = components(links).select(F.col("node").alias("digest"), F.col("component").alias("class"))
 
-    known = described.where("digest is not null").join(found, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class", "digest").alias("class"))
-    named = known.join(known.groupBy("class").agg(F.min("doc_id").alias("component_id")), "class")
-    alone = described.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = named.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    known = described.where("digest is not null").join(found, "digest", "left")
+    known = known.select("doc_id", "n_shingles", F.coalesce("class", "digest").alias("class"), "row")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    named = known.join(known.groupBy("class").agg(F.min("doc_id").alias("component_id"), least["row"].alias("winner")), "class")
+    alone = described.where("digest is null").withColumns({"component_id": F.col("doc_id"), "winner": F.col("row")})
+    columns = ("doc_id", "n_shingles", "component_id", "row", "winner")
+    out = named.select(*columns).unionByName(alone.select(*columns))
+    if row is not None:
+        return out.select("doc_id", "n_shingles", "component_id", (F.col("row") == F.col("winner")).alias("kept"), "row")
+    out = out.drop("row", "winner")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
