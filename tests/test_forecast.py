@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import make_series, values_of
+from series_rows import make_series, values_of
 from pyspark.sql import functions as F
 from test_statistics import ar_series
 

@@ -8,7 +8,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
-from conftest import make_series, values_of
+from series_rows import make_series, values_of
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import stable_round

@@ -2,7 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from conftest import make_series, month, values_of
+from series_rows import make_series, month, values_of
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import coerce_numeric, parse_month, parse_number
@@ -117,8 +117,8 @@ def test_rollup_by_dimension_equals_joining_first(spark):
     )
     dim = spark.createDataFrame([(i, f"g{i % 4}") for i in range(50)], "k2 int, grp string")
     s = SeriesSpec(keys=("grp",))
-    got = rollup_by_dimension(facts, dim, ("k", "k2"), ["grp"], s, "ts", {"y": "v"})
-    want = monthly_rollup(facts.join(dim, facts.k == dim.k2), s, "ts", {"y": "v"})
+    got = rollup_by_dimension(facts, dim, ("k", "k2"), ["grp"], s, "ts", {"y": "v"}, scale=2)  # sums of whole hundredths
+    want = monthly_rollup(facts.join(dim, facts.k == dim.k2), s, "ts", {"y": "v"}, scale=2)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
