@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from tidemill.llm.embedding_dedup import embedding_dedup
 from tidemill.llm.jaccard_join import jaccard_components
 from tidemill.llm.lm_scoring import lm_scores
+from tidemill.llm.merge_encoding import sentencepiece_decode, sentencepiece_encode
 from tidemill.llm.mixing import mixed_sources
 from tidemill.llm.packing import best_fit_packing
 from tidemill.llm.quality_classifier import quality_classifier
@@ -17,15 +16,12 @@ from tidemill.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from tidemill.llm.substring_dedup import substring_dedup
 from tidemill.llm.token_counts import token_counts
 from tidemill.llm.url_filter import BLOCK_GLOBS, FIXED_RULES, url_filter
+from tidemill.llm.whitening import embedding_whitening
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def tokenizer_path(name: str) -> str:
-    """Where the public vocabulary files lie: the folder in LLM_TOKENIZERS, or the installed package's."""
-    folder = os.environ.get("LLM_TOKENIZERS")
-    if folder:
-        return os.path.join(folder, name)
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -177,3 +173,19 @@ def op4(spark, folder):
 def op6(spark, folder):
     """Weight, passes and copies of every document in the mixture of sources."""
     return mixed_sources(table(spark, folder, "documents"))
+
+
+@query("op11_sentencepiece")
+def op11(spark, folder):
+    """Ids of every document by the public merge model, and the text they give back."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    both = sentencepiece_decode(sentencepiece_encode(table(spark, folder, "documents").select("doc_id", "text"), model), model)
+    digest = lambda c: F.sha2(c, 256)
+    ids = F.array_join("ids", ",")
+    return both.select("doc_id", "n_tokens", digest(ids).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, folder):
+    """Whitened coordinates of every vector on the four leading components."""
+    return embedding_whitening(table(spark, folder, "embeddings"))
