@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.embedding_dedup import embedding_dedup
 from tidemill.llm.jaccard_join import jaccard_components
+from tidemill.llm.lexical_search import ranked_search
 from tidemill.llm.lm_scoring import lm_scores
 from tidemill.llm.merge_encoding import sentencepiece_decode, sentencepiece_encode
 from tidemill.llm.mixing import mixed_sources
@@ -185,6 +186,26 @@ def op11(spark, folder):
     return both.select("doc_id", "n_tokens", digest(ids).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
 
+_OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT count(*) AS nn, sum(len(terms))::BIGINT AS ll FROM d WHERE len(terms) > 0),
+o AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM o, s GROUP BY term, nn),
+b AS (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+    FROM b JOIN w USING (term) JOIN o USING (term), s GROUP BY q, item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
+@query("op12_ranked_search", _OP12_SQL)
+def op12(spark, folder):
+    """The ten best documents of every benchmark item."""
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
 @query("op13_embedding_whitening")
 def op13(spark, folder):
     """Whitened coordinates of every vector on the four leading components."""
