@@ -11,6 +11,7 @@ import numpy as np
 
 EPS = float(np.finfo(float).eps)
 TINY = float(np.finfo(float).tiny)
+HUGE = 1e100
 
 
 def reflector(x: np.ndarray) -> tuple[np.ndarray, float]:
@@ -121,13 +122,12 @@ def twisted(a: np.ndarray, b: np.ndarray, value: float) -> list[np.ndarray]:
     for r in np.argsort(gamma, kind="stable")[:8].tolist():
         z = np.zeros(n)
         z[r] = 1.0
-        for i in range(r - 1, -1, -1):
-            z[i] = -up[i] * z[i + 1]
-        for i in range(r, n - 1):
-            z[i + 1] = -down[i] * z[i]
-        z /= np.abs(z).max()
-        if np.isfinite(z).all():  # a poor twist may grow beyond all numbers; the best one has 1 as its largest entry
-            found.append(z / np.linalg.norm(z))
+        for step, end, factor in ((-1, -1, up), (1, n, down)):
+            for i in range(r + step, end, step):
+                z[i] = -factor[min(i, i - step)] * z[i - step]
+                if abs(z[i]) > HUGE:  # a poor twist may grow beyond all numbers
+                    z /= HUGE
+        found.append(z / np.linalg.norm(z))
     return found
 
 
