@@ -31,7 +31,7 @@ from tidemill.llm import batches
 
 SPACE = "▁"
 KNOWN_RUNS, KNOWN_PAIRS, LONGEST_KEPT = 400_000, 500_000, 64
-NEVER = float("-inf")
+NEVER, START = float("-inf"), (1 << 22) - 1
 ENCODED = "ids array<int>, n_tokens bigint"
 
 
@@ -75,10 +75,12 @@ class Encoder:
         parted = not any(SPACE in p.lstrip(SPACE) for p in self.id_of)
         self.run = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if parted else "(?s).+")
         self.automaton = ahocorasick.Automaton()
-        for p in (p for p in self.id_of if len(p) > 1):
-            self.automaton.add_word(p, len(p))
+        for p, i in self.id_of.items():
+            if len(p) > 1:
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pieces, self.length = model.pieces, [len(p) for p in model.pieces]
+        self.pairs: dict[int, bool] = {}
         self.runs = Known(self.run_ids)
 
     def apart(self, a: str, b: str) -> bool:
@@ -98,47 +100,64 @@ class Encoder:
                 found[at] = score(parts[at] + parts[at + 1], NEVER)
         return len(parts) == 1 + (a != "")
 
-    def neighbours(self, a: str, b: str) -> bool:
-        fits = self.pairs.get((a, b))
-        if fits is None:
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            fits = self.pairs[a, b] = self.apart(a, b)
-        return fits
-
-    def split(self, text: str) -> list[str]:
-        """The pieces of ``text``; a character without a piece stands for itself."""
-        lengths: list[list[int]] = [[1] for _ in text]
-        for end, n in self.automaton.iter(text):  # by end, so the longest at a place comes last
-            lengths[end + 1 - n].append(n)
-        failed = bytearray(len(text) // 8 + 1)
-        pieces: list[str] = []
-        tried = [len(lengths[0])]  # how many of a place's matches are left, for every piece taken and the next
-        at = 0
-        while at < len(text):
-            before = pieces[-1] if pieces else ""
-            for k in range(tried[-1] - 1, -1, -1):
-                end = at + lengths[at][k]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.neighbours(before, text[at:end]):
-                    pieces.append(text[at:end])
-                    tried[-1] = k
-                    tried.append(len(lengths[end]) if end < len(text) else 0)
-                    at = end
+    def spelled(self, i: int) -> str:
+        return "" if i == START else self.pieces[i] if i < len(self.pieces) else chr(i - len(self.pieces))
+
+    def split(self, text: str) -> list[int]:
+        """The pieces of ``text`` by id; a character without a piece stands for itself, its code point behind the ids."""
+        other, length = len(self.pieces), self.length
+        one = [i if (i := self.id_of.get(c)) is not None else other + ord(c) for c in text]
+        longer: list[list[int] | None] = [None] * len(text)
+        for end, i in self.automaton.iter(text):  # by end, so the longest at a place comes last
+            start = end + 1 - length[i]
+            if longer[start] is None:
+                longer[start] = [one[start], i]
+            else:
+                longer[start].append(i)
+        pairs, failed, any_failed = self.pairs, bytearray(len(text) // 8 + 1), False
+        pieces: list[int] = []
+        tried: list[int] = []  # the match taken at each piece's place; shorter ones are left
+        at, before = 0, START
+        here = longer[0] or one[:1]
+        k = len(here)
+        while True:
+            while k:
+                k -= 1
+                piece = here[k]
+                end = at + (length[piece] if k else 1)
+                if any_failed and failed[end >> 3] >> (end & 7) & 1:
+                    continue
+                pair = before << 22 | piece
+                fits = pairs.get(pair)
+                if fits is None:
+                    if len(pairs) >= KNOWN_PAIRS:
+                        pairs.clear()
+                    fits = pairs[pair] = self.apart(self.spelled(before), self.spelled(piece))
+                if fits:
+                    pieces.append(piece)
+                    if end == len(text):
+                        return pieces
+                    tried.append(k)
+                    at, before = end, piece
+                    here = longer[at] or one[at : at + 1]
+                    k = len(here)
                     break
             else:
                 if not pieces:
                     raise ValueError("the model's merges do not cover this text")
                 failed[at >> 3] |= 1 << (at & 7)
-                tried.pop()
-                at -= len(pieces.pop())
-        return pieces
+                any_failed = True
+                k = tried.pop()
+                gone = pieces.pop()
+                at -= length[gone] if gone < other else 1
+                before = pieces[-1] if pieces else START
+                here = longer[at] or one[at : at + 1]
 
     def run_ids(self, run: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for p in self.split(run):
-            i = self.id_of.get(p)
-            ids.extend(map(self.byte_id.__getitem__, p.encode())) if i is None else ids.append(i)
-        return tuple(ids)
+        ids, other = self.split(run), len(self.pieces)
+        if max(ids) < other:
+            return tuple(ids)
+        return tuple(chain.from_iterable([i] if i < other else map(self.byte_id.__getitem__, chr(i - other).encode()) for i in ids))
 
     def encode(self, text: str) -> Iterator[int]:
         if not text:
@@ -147,16 +166,19 @@ class Encoder:
 
 
 class Known(dict):
-    """Ids of runs, found once; begun anew when full, and without the long ones."""
+    """Ids of runs, found once. When half full it begins anew and takes over what is met again; long runs are not kept."""
 
     def __init__(self, find):
         super().__init__()
-        self.find = find
+        self.find, self.older = find, {}
 
     def __missing__(self, run: str) -> tuple[int, ...]:
-        ids = self.find(run)
+        ids = self.older.get(run)
+        if ids is None:
+            ids = self.find(run)
         if len(run) <= LONGEST_KEPT:
-            if len(self) >= KNOWN_RUNS:
+            if 2 * len(self) >= KNOWN_RUNS:
+                self.older = dict(self)
                 self.clear()
             self[run] = ids
         return ids
