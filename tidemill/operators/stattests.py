@@ -39,7 +39,8 @@ def band(n: Column) -> Column:
     return div(dbl(1.96), F.sqrt(n.cast("double")))
 
 
-def _long(arrays: DataFrame, spec: SeriesSpec, name: str) -> DataFrame:
+def by_lag(arrays: DataFrame, spec: SeriesSpec, name: str) -> DataFrame:
+    """One row per lag of an array column, with the 95 % band."""
     rows = arrays.select(*spec.keys, "n", F.posexplode(name).alias("lag", name))
     # lags a series is too short for say nothing
     rows = rows.where(F.col("lag") < F.col("n"))
@@ -49,7 +50,7 @@ def _long(arrays: DataFrame, spec: SeriesSpec, name: str) -> DataFrame:
 
 def acf(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> DataFrame:
     """Autocorrelation per lag with the 95 % band."""
-    return _long(acf_arrays(df, spec, nlags), spec, "acf")
+    return by_lag(acf_arrays(df, spec, nlags), spec, "acf")
 
 
 @F.pandas_udf(VECTOR)
@@ -72,13 +73,17 @@ def _durbin_levinson(acfs: pd.Series) -> pd.Series:
     return pd.Series([None if a is None else row.tolist() for a, row in zip(acfs, out)], dtype=object)
 
 
+def with_pacf(arrays: DataFrame) -> DataFrame:
+    return arrays.withColumn("pacf", _durbin_levinson("acf"))
+
+
 def pacf_arrays(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> DataFrame:
-    return acf_arrays(df, spec, nlags).withColumn("pacf", _durbin_levinson("acf"))
+    return with_pacf(acf_arrays(df, spec, nlags))
 
 
 def pacf(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> DataFrame:
     """Yule-Walker partial autocorrelation per lag with the 95 % band."""
-    return _long(pacf_arrays(df, spec, nlags), spec, "pacf")
+    return by_lag(pacf_arrays(df, spec, nlags), spec, "pacf")
 
 
 def acf_interpretation(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> DataFrame:
