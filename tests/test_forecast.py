@@ -46,6 +46,53 @@ def test_arima_path_follows_the_recursion(spark, spec):
     assert np.allclose(got, want)
 
 
+@pytest.mark.parametrize("gap", [False, True])
+def test_first_stage_order_grows_with_the_series(spark, spec, gap):
+    rng = np.random.default_rng(4)
+    n = 2000
+    e = rng.normal(size=n)
+    w = e.copy()
+    for t in range(20, n):
+        w[t] = 0.5 * w[t - 1] + e[t] + 0.6 * e[t - 20]
+    y = w.tolist()
+    if gap:
+        y[700] = None
+    shape = forecast.ArmaShape((), (1,), (1, 20))
+    df = spark.createDataFrame([("a", dt.date(2000, 1, 1) + dt.timedelta(t), v) for t, v in enumerate(y)], "key string, date date, y double")
+    fit = forecast.fit_arma(df, spec, shape).first()
+    assert 20 < fit.order <= 33  # 10 log10(2000)
+    assert fit.coef[:3] == pytest.approx([0.5, 0.0, 0.6], abs=0.12)
+    # the same two regressions by a dense solver
+    v, m = np.array([np.nan if x is None else x for x in y]), fit.order
+    lags = np.column_stack([v[m - k : n - k] for k in range(1, m + 1)] + [np.ones(n - m)])
+    use = np.isfinite(lags).all(axis=1) & np.isfinite(v[m:])
+    long, *_ = np.linalg.lstsq(lags[use], v[m:][use], rcond=None)
+    shock = np.concatenate([np.full(m, np.nan), v[m:] - lags @ long])
+    x = np.column_stack([np.roll(v, 1), np.roll(shock, 1), np.roll(shock, 20), np.ones(n)])
+    use = np.isfinite(x).all(axis=1) & np.isfinite(v) & (np.arange(n) >= m + 20)
+    beta, *_ = np.linalg.lstsq(x[use], v[use], rcond=None)
+    assert fit.nobs == use.sum() and np.allclose(fit.coef, beta, atol=1e-6)
+
+
+def test_long_series_are_fitted_by_chunks(spark, monkeypatch):
+    from tidemill.operators import arma
+
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=1000)
+    w[[5, 400]] = np.nan
+    columns = [(w, 1), (w, 7), (w, 0)]
+    whole, n = arma.cross_products(columns, 7, True)
+    monkeypatch.setattr(arma, "CHUNK", 64)
+    parts, m = arma.cross_products(columns, 7, True)
+    assert n == m == 993 - 1 - 3 and np.allclose(whole, parts)
+
+
+def test_one_exchange_after_the_rollup(spark, spec):
+    df = make_series(spark, {"a": range(60)})
+    for out in (forecast.forecast_arima(df, spec), forecast.forecast_sarima(df, spec), forecast.arima_order_search(df, spec)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_difference_weights():
     assert forecast.ArmaShape.sarima(12).difference_weights() == {0: 1.0, 1: -1.0, 12: -1.0, 13: 1.0}
     assert forecast.ArmaShape.arima(1, 2, 0).difference_weights() == {0: 1.0, 1: -2.0, 2: 1.0}

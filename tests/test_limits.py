@@ -106,7 +106,7 @@ def test_arma_fit_leaves_gaps_out(spark, spec):
     shape = forecast.ArmaShape((), (1, 2), ())
     row = forecast.fit_arma(make_series(spark, {"a": y}, 2000), spec, shape).first()
     v = np.array([np.nan if x is None else x for x in y])
-    start = max(shape.long_ar)
+    start = max(shape.ar)
     rows = [t for t in range(start, 140) if np.isfinite(v[[t, t - 1, t - 2]]).all()]
     x = np.array([[v[t - 1], v[t - 2], 1.0] for t in rows])
     beta, *_ = np.linalg.lstsq(x, v[rows], rcond=None)

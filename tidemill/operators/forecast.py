@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemill.functions.columns import dbl, div, stable_round
+from tidemill.operators import arma
 from tidemill.operators.describe import at_age, with_index
 from tidemill.operators.features import rolling_stats
-from tidemill.operators.linalg import VECTOR, as_lists, gram, least_squares, solve_batch, stack, unpack
+from tidemill.operators.linalg import VECTOR, as_lists, gram, least_squares, stack
 from tidemill.spec import SeriesSpec
 
 # What-if presets (growth, festive season, extra boost).
@@ -101,12 +100,6 @@ class ArmaShape:
     def constant(self) -> bool:
         return not self.diffs
 
-    @property
-    def long_ar(self) -> tuple[int, ...]:
-        """Lags of the first-stage autoregression that stands in for the unseen shocks."""
-        short = range(1, min(max(self.ar, default=0), 2) + min(max(self.ma, default=0), 2) + 3)
-        return tuple(sorted({*short, *self.ar}))
-
     def difference_weights(self) -> dict[int, float]:
         """w_t = sum of weight[j] * y_{t-j}."""
         weights = {0: 1.0}
@@ -116,39 +109,6 @@ class ArmaShape:
         return {j: c for j, c in sorted(weights.items()) if c}
 
 
-def _differenced(df: DataFrame, spec: SeriesSpec, shape: ArmaShape) -> DataFrame:
-    """Adds ``_w`` (differenced value), ``_j`` (its index from 0), age and length."""
-    rows = with_index(df, spec)
-    terms = [
-        dbl(c) * (F.lag(spec.value, j).over(spec.ordered()) if j else spec.y)
-        for j, c in shape.difference_weights().items()
-    ]
-    start = sum(shape.diffs)
-    rows = rows.withColumn("_w", sum(terms[1:], terms[0])).withColumn("_j", F.col("i") - start)
-    return rows
-
-
-def _all_there(columns: Sequence[Column]) -> Column:
-    """A missing value leaves its row out of a fit; it never counts as zero."""
-    return reduce(lambda a, b: a & b, (c.isNotNull() for c in columns))
-
-
-def _with_shocks(df: DataFrame, spec: SeriesSpec, shape: ArmaShape) -> DataFrame:
-    """First stage: long autoregression per key; its residuals become ``_e``."""
-    rows = _differenced(df, spec, shape)
-    w = spec.ordered()
-    lags = shape.long_ar
-    names = {f"_w{k}": F.lag("_w", k).over(w) for k in sorted({*lags, *shape.ar})}
-    rows = rows.withColumns(names)
-    regressors = [F.col(f"_w{k}") for k in lags] + ([dbl(1.0)] if shape.constant else [])
-    usable = (F.col("_j") >= max(lags)) & _all_there([*regressors, F.col("_w")])
-    fit = rows.groupBy(*spec.keys).agg(gram([*regressors, F.col("_w")], usable).alias("_g"))
-    fit = fit.select(*spec.keys, least_squares(len(regressors))("_g").alias("_a"))
-    rows = rows.join(fit, list(spec.keys))
-    guess = [F.col("_a")[k] * x for k, x in enumerate(regressors)]
-    return rows.withColumn("_e", F.when(usable, F.col("_w") - sum(guess[1:], guess[0]))).drop("_a")
-
-
 def _radius(coefficients: np.ndarray, lags: Sequence[int]) -> np.ndarray:
     """Largest root modulus of each lag polynomial of a batch."""
     order = max(lags)
@@ -166,21 +126,18 @@ def _damped(coefficients: np.ndarray, lags: Sequence[int], limit: float = 0.98)
     return coefficients * factor[:, None] ** np.asarray(lags, dtype=float)
 
 
-def _arma_solver(shape: ArmaShape):
+def _damper(shape: ArmaShape):
+    """Coefficients of a batch with both lag polynomials inside the unit circle."""
     n_ar, n_ma = len(shape.ar), len(shape.ma)
-    k = n_ar + n_ma + shape.constant
 
-    @F.pandas_udf(VECTOR)
-    def solve(grams: pd.Series) -> pd.Series:
-        full = unpack(stack(grams, (k + 1) * (k + 2) // 2), k + 1)
-        beta = solve_batch(full[:, :k, :k].copy(), full[:, :k, k], 1e-8)
+    def damped(beta: np.ndarray) -> np.ndarray:
         if n_ar:
             beta[:, :n_ar] = _damped(beta[:, :n_ar], shape.ar)
         if n_ma:
             beta[:, n_ar : n_ar + n_ma] = -_damped(-beta[:, n_ar : n_ar + n_ma], shape.ma)
-        return as_lists(beta)
+        return beta
 
-    return solve
+    return damped
 
 
 def _arma_path(shape: ArmaShape, horizon: int):
@@ -212,30 +169,15 @@ def _arma_path(shape: ArmaShape, horizon: int):
 
 
 def fit_arma(df: DataFrame, spec: SeriesSpec, shape: ArmaShape) -> DataFrame:
-    """Second stage per key: coefficients, tails for forecasting, fit size and status.
+    """Per key: coefficients, tails for forecasting, fit size, order of the first stage and status.
 
-    Hannan-Rissanen: regress the differenced series on its own lags and on lagged
-    first-stage residuals. Both cross-product passes are distributed aggregates.
+    Hannan-Rissanen: the differenced series is regressed on its own lags and on the lagged residuals of a long
+    autoregression, whose order is chosen by AIC and may grow with the length of the series. A missing value leaves the
+    rows it touches out of the fit, it never counts as zero.
     """
-    rows = _with_shocks(df, spec, shape)
-    w = spec.ordered()
-    rows = rows.withColumns({f"_e{k}": F.lag("_e", k).over(w) for k in shape.ma})
-    regressors = [F.col(f"_w{k}") for k in shape.ar] + [F.col(f"_e{k}") for k in shape.ma]
-    regressors += [dbl(1.0)] if shape.constant else []
-    reach = max(shape.long_ar) + max(shape.ma, default=0)
-    usable = (F.col("_j") >= max(reach, max(shape.ar, default=0))) & _all_there([*regressors, F.col("_w")])
-    p, q, d = max(shape.ar, default=1), max(shape.ma, default=1), max(sum(shape.diffs), 1)
-    fits = rows.groupBy(*spec.keys).agg(
-        gram([*regressors, F.col("_w")], usable).alias("_g"),
-        F.count_if(usable).alias("nobs"),
-        F.max(spec.time).alias("last"),
-        F.array(*[at_age(F.col("_w"), k) for k in range(1, p + 1)]).alias("w_tail"),
-        F.array(*[F.coalesce(at_age(F.col("_e"), k), dbl(0.0)) for k in range(1, q + 1)]).alias("e_tail"),
-        F.array(*[at_age(spec.y, k) for k in range(1, d + 1)]).alias("y_tail"),
-        F.array_compact(F.array(*[at_age(spec.y, k) for k in (3, 2, 1)])).alias("_recent"),
-    )
-    enough = F.col("nobs") >= 2 * len(regressors)
-    fits = fits.withColumn("coef", F.when(enough, _arma_solver(shape)("_g")))
+    fits = arma.value_arrays(df, spec).withColumn("_f", arma.two_stage(shape, _damper(shape))("values"))
+    fits = fits.select(*spec.keys, "last", "_f.*").withColumnsRenamed({"recent": "_recent"})
+    enough = F.col("nobs") >= 2 * (len(shape.ar) + len(shape.ma) + shape.constant)
     status = F.when(F.col("coef").isNotNull(), F.lit("ok")).when(enough, F.lit("singular")).otherwise(F.lit("too_short"))
     return fits.withColumn("status", status)
 
@@ -269,55 +211,14 @@ def forecast_sarima(df: DataFrame, spec: SeriesSpec, horizon: int = 12, model: s
 def arima_order_search(
     df: DataFrame, spec: SeriesSpec, max_p: int = 5, max_d: int = 2, max_q: int = 5
 ) -> DataFrame:
-    """Order with the lowest AIC among p 1..max_p, d 0..max_d, q 0..max_q, per key.
+    """Order with the lowest AIC among p 1..max_p, d 0..max_d, q 0..max_q, per key; all from one array per series.
 
-    All orders of one d are sub-models of one regression, so each series needs
-    one gram matrix per d instead of one fit per candidate.
+    A series that no order fits keeps its row and says so.
     """
-    k = max_p + max_q + 1
-    best = None
-    for d in range(max_d + 1):
-        shape = ArmaShape((1,) * d, tuple(range(1, max_p + 1)), tuple(range(1, max_q + 1)))
-        rows = _with_shocks(df, spec, shape)
-        rows = rows.withColumns({f"_e{j}": F.lag("_e", j).over(spec.ordered()) for j in shape.ma})
-        terms = [F.col(f"_w{j}") for j in shape.ar] + [F.col(f"_e{j}") for j in shape.ma] + [dbl(1.0), F.col("_w")]
-        usable = (F.col("_j") >= max(shape.long_ar) + max_q) & _all_there(terms)
-        grams = rows.groupBy(*spec.keys).agg(gram(terms, usable).alias("_g"), F.count_if(usable).alias("nobs"))
-        grams = grams.withColumn("_best", _order_picker(k, max_p, max_q, d == 0)("_g", "nobs"))
-        picked = grams.select(*spec.keys, F.lit(d).alias("d"), "nobs", "_best.*")
-        best = picked if best is None else best.unionByName(picked)
-    # only fitted orders compete; a series without any keeps its row and says so
-    order = F.when(F.col("aic").isNotNull(), F.struct("aic", "d", "p", "q"))
-    found = best.groupBy(*spec.keys).agg(F.min_by(F.struct("p", "d", "q", "aic", "nobs"), order).alias("_b"))
-    status = F.when(F.col("_b").isNull(), F.lit("too_short")).otherwise(F.lit("ok"))
-    return found.select(*spec.keys, "_b.*", status.alias("status"))
-
-
-def _order_picker(k: int, max_p: int, max_q: int, constant: bool):
-    schema = T.StructType(
-        [T.StructField("p", T.LongType()), T.StructField("q", T.LongType()), T.StructField("aic", T.DoubleType())]
-    )
-
-    @F.pandas_udf(schema)
-    def pick(grams: pd.Series, nobs: pd.Series) -> pd.DataFrame:
-        full = unpack(stack(grams, (k + 1) * (k + 2) // 2), k + 1)
-        n = nobs.to_numpy(dtype=float)
-        best = np.full(len(full), np.inf)
-        order = np.zeros((len(full), 2), dtype="int64")
-        for p in range(1, max_p + 1):
-            for q in range(max_q + 1):
-                use = [*range(p), *range(max_p, max_p + q)] + ([k - 1] if constant else [])
-                xx, xy = full[:, use][:, :, use].copy(), full[:, use, k]
-                sse = full[:, k, k] - (solve_batch(xx, xy) * xy).sum(axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    aic = n * (np.log(2 * np.pi * sse / n) + 1.0) + 2.0 * (len(use) + 1)
-                better = (n > 2 * len(use)) & np.isfinite(aic) & (aic < best)
-                best[better] = aic[better]
-                order[better] = (p, q)
-        aic = pd.Series(best).astype("Float64").where(np.isfinite(best))
-        return pd.DataFrame({"p": order[:, 0], "q": order[:, 1], "aic": aic})
-
-    return pick
+    pick = arma.best_order(max_p, max_d, max_q, lambda d: ArmaShape((1,) * d, (), ()).difference_weights())
+    best = arma.value_arrays(df, spec).withColumn("_b", pick("values"))
+    status = F.when(F.col("_b.aic").isNull(), F.lit("too_short")).otherwise(F.lit("ok"))
+    return best.select(*spec.keys, "_b.*", status.alias("status"))
 
 
 # -- trend and season --------------------------------------------------------
