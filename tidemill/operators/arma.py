@@ -21,15 +21,20 @@ from tidemill.spec import SeriesSpec
 CHUNK = 1 << 16
 
 
+def once(function):
+    """Keeps the optimizer from copying a costly function into filters it derives and evaluating it there again."""
+    return function.asNondeterministic()
+
+
 def value_arrays(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Per key: ``values`` in time order, missing ones null, and ``last``, the newest time.
 
-    The partitions are asked for by number: what follows costs far more than the bytes of the arrays let adaptive execution
-    expect, and it would otherwise gather thousands of series in one task.
+    The partitions are asked for by number and by a hash of the keys: what follows costs far more than the bytes of the
+    arrays let adaptive execution expect, and it would otherwise gather thousands of series in one task.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = F.array_sort(F.collect_list(F.struct(spec.t.alias("t"), spec.y.cast("double").alias("y"))))
-    out = df.repartition(partitions, *spec.keys).groupBy(*spec.keys).agg(rows.alias("_all"))
+    rows = df.select(*spec.keys, F.xxhash64(*spec.keys).alias("_h"), F.struct(spec.t.alias("t"), spec.y.cast("double").alias("y")).alias("_row"))
+    out = rows.repartition(partitions, "_h").groupBy("_h", *spec.keys).agg(F.array_sort(F.collect_list("_row")).alias("_all"))
     return out.select(*spec.keys, F.transform("_all", lambda x: x["y"]).alias("values"), F.element_at("_all", -1)["t"].alias("last"))
 
 
@@ -150,7 +155,7 @@ def two_stage(shape, damped) -> F.pandas_udf:
     def run(values: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([fit(v) for v in values], columns=FIT.names)
 
-    return run
+    return once(run)
 
 
 BEST = T.StructType(
@@ -196,4 +201,4 @@ def best_order(max_p: int, max_d: int, max_q: int, weights_of) -> F.pandas_udf:
         out = {c: pd.Series(found[:, j]).astype("Int64").where(ok) for j, c in enumerate(("p", "d", "q", "nobs"))}
         return pd.DataFrame({"p": out["p"], "d": out["d"], "q": out["q"], "aic": pd.Series(best).astype("Float64").where(ok), "nobs": out["nobs"]})
 
-    return run
+    return once(run)

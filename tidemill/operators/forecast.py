@@ -165,7 +165,7 @@ def _arma_path(shape: ArmaShape, horizon: int):
             y = np.column_stack([level, y[:, :-1]])
         return as_lists(out)
 
-    return path
+    return arma.once(path)
 
 
 def fit_arma(df: DataFrame, spec: SeriesSpec, shape: ArmaShape) -> DataFrame:
