@@ -241,3 +241,42 @@ def test_model_registry_round_trip(spark, spec, tmp_path):
     loaded = models.load_model(spark, str(tmp_path), "ridge")
     assert np.allclose(loaded.coefficients.toArray(), model.coefficients.toArray())
     assert models.model_registry(spark, str(tmp_path)).where("is_active").count() == 1
+
+
+def test_ridge_of_every_fold_equals_a_fit_of_its_own(spark, spec):
+    from tidemill.operators import folds
+
+    rows = folds.with_folds(ml.model_rows(trending(spark, 3, 110).unionByName(make_series(spark, {"short": range(30, 70)})), spec)).cache()
+    fits = {r.fold: r for r in folds.ridge_by_fold(rows).collect()}
+    assert sorted(fits) == [1, 2, 3, 4, 5]
+    for k, fit in fits.items():
+        one = ml.fit_ridge(rows.where(F.col("first_fold") <= k).coalesce(1))
+        got = [(r.yhat, r.own) for r in ml.predict(one, rows.where(F.col("test_fold") == k), spec, "x").withColumnRenamed("yhat", "own")
+               .join(folds.ridge_fold_predictions(rows, spec).drop("y", "model"), spec.ids).collect()]
+        assert len(got) >= 36 and all(a == pytest.approx(b, rel=1e-5) for a, b in got)
+
+
+def test_folds_of_rows_are_those_of_the_series(spark, spec):
+    from tidemill.operators import folds
+
+    df = make_series(spark, {"a": range(1, 100), "b": range(1, 50), "c": range(1, 37), "d": range(1, 30)})
+    want = {}
+    for r in evaluate.walk_forward_folds(df, spec).collect():
+        want.setdefault((r.key, r.date), set()).add((r.fold, r.part))
+    for r in folds.with_folds(ml.model_rows(df, spec)).collect():
+        train = {(k, "train") for k in range(r.first_fold, 6)} if r.first_fold else set()
+        assert train | ({(r.test_fold, "test")} if r.test_fold else set()) == want.get((r.key, r.date), set())
+
+
+def test_walk_forward_by_series_and_feature_models(spark, spec):
+    df = trending(spark, 3, 100)
+    models = ("moving_average", "arima", "sarima", "trend_seasonal", "ridge")
+    cv = evaluate.walk_forward_cv(df, spec, n_splits=3, models=models).collect()
+    assert len(cv) == 15 and all(r.n_splits == 3 and r.mean_rmse > 0 for r in cv)
+
+
+@pytest.mark.parametrize("fit", [lambda t: ml.fit_random_forest(t, trees=4), lambda t: ml.fit_gbt(t, trees=4, depth=3)])
+def test_a_seed_means_the_same_trees_however_rows_are_partitioned(spark, spec, fit):
+    rows = ml.model_rows(trending(spark, 12, 80), spec).cache()
+    trees = {fit(rows.repartition(n)).toDebugString.split("\n", 1)[1] for n in (1, 4, 32)}
+    assert len(trees) == 1

@@ -32,7 +32,7 @@ def test_facts_are_combined_before_any_shuffle(spark):
     assert any("partial_sum" in line for line in lines[first_shuffle:scan])
 
 
-@pytest.mark.parametrize("name", ["ensemble_inverse_rmse", "dashboard_kpis", "forecast_arima", "stationarity_verdict", "walk_forward_cv"])
+@pytest.mark.parametrize("name", ["ensemble_inverse_rmse", "dashboard_kpis", "forecast_arima", "stationarity_verdict"])
 def test_facts_are_scanned_once_however_often_the_series_is_used(spark, name):
     df = entry.queries()[name](spark, FOLDER)
     df.collect()
@@ -40,6 +40,12 @@ def test_facts_are_scanned_once_however_often_the_series_is_used(spark, name):
     assert len(re.findall(r"FileScan parquet \[o_custkey", final)) == 1
 
 
+def test_comparisons_of_models_read_a_written_series(spark):
+    df = entry.queries()["walk_forward_cv_average"](spark, FOLDER)
+    df.collect()
+    assert "FileScan" not in plan_of(df)
+
+
 def test_scans_read_only_needed_columns(spark):
     plan = plan_of(tb.segment_series(spark, FOLDER))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)

@@ -5,6 +5,8 @@ from one grouped aggregate by (keys, model)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from tidemill.functions.columns import dbl, div, stable_round
 from tidemill.functions.distributions import normal_cdf, student_two_sided
 from tidemill.operators import describe as ds
 from tidemill.operators import stattests as st
-from tidemill.operators.model_set import MODELS, backtest_predictions, fold_forecasts
+from tidemill.operators import ml
+from tidemill.operators.folds import fold_predictions
+from tidemill.operators.model_set import FEATURE_FITS, FEATURE_MODELS, MODELS, SERIES_MODELS, backtest_predictions, forecasts
 from tidemill.session import cut_lineage
 from tidemill.spec import SeriesSpec
 
@@ -221,12 +225,22 @@ def walk_forward_folds(df: DataFrame, spec: SeriesSpec, n_splits: int = 5, test_
 def walk_forward_predictions(
     df: DataFrame, spec: SeriesSpec, n_splits: int = 5, test_size: int = 12, models: tuple[str, ...] = ("moving_average", "arima")
 ) -> DataFrame:
-    """Test rows of every fold with the forecast of each model (any of ``model_set.MODELS``) fitted on the fold's past."""
+    """Test rows of every fold by each model (any of ``model_set.MODELS``): keys, time, fold, model, y, yhat.
+
+    Models of single series are fitted on the fold's past and forecast its test stretch, all folds in one job; feature models
+    learn from the past of all series and predict each test row from the values before it. ``df`` is read several times.
+    """
+    series = df.select(*spec.ids, spec.y)
     fs = spec.with_keys(*spec.keys, "fold")
-    folds = walk_forward_folds(df, spec, n_splits, test_size)
+    folds = walk_forward_folds(series, spec, n_splits, test_size)
     train = folds.where(F.col("part") == "train").drop("part")
     test = folds.where(F.col("part") == "test").select(*fs.ids, spec.y.alias("y"))
-    return fold_forecasts(train, spec, test_size, models, range(1, n_splits + 1)).join(test, fs.ids)
+    parts = []
+    if own := [m for m in models if m in SERIES_MODELS]:
+        parts.append(forecasts(train, fs, test_size, own).drop("step").join(test, fs.ids))
+    if own := [m for m in models if m in FEATURE_MODELS]:
+        parts.append(fold_predictions(cut_lineage(ml.model_rows(series, spec)), spec, own, FEATURE_FITS, n_splits, test_size))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def walk_forward_cv(
@@ -236,9 +250,10 @@ def walk_forward_cv(
 
     ``n_splits`` counts the folds that the model could fit; it is 0, with null errors, for series too short for any.
     """
-    predictions = walk_forward_predictions(df, spec, n_splits, test_size, models)
+    series = cut_lineage(df.select(*spec.ids, spec.y))
+    predictions = walk_forward_predictions(series, spec, n_splits, test_size, models)
     folds = regression_metrics(predictions, spec, "fold")
-    every = df.select(*spec.keys).distinct().withColumn("model", F.explode(F.array(*(F.lit(m) for m in models))))
+    every = series.select(*spec.keys).distinct().withColumn("model", F.explode(F.array(*(F.lit(m) for m in models))))
     means = folds.groupBy(*spec.keys, "model").agg(
         F.avg("rmse").alias("mean_rmse"), F.avg("mae").alias("mean_mae"), F.avg("mape").alias("mean_mape"),
         F.stddev_pop("rmse").alias("std_rmse"), F.count(F.lit(1)).alias("n_splits"),

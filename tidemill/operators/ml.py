@@ -71,12 +71,12 @@ def _vector(past: Column, t: Column, i: Column) -> Column:
 
 
 def model_rows(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Training table: keys, time, features (vector), label, age; rows without full history left out."""
+    """Training table: keys, time, features (vector), label, age, n (length of the series); rows without full history left out."""
     rows = with_index(df, spec)
     past = F.reverse(F.collect_list(spec.value).over(spec.ordered().rowsBetween(-REACH, -1)))
     rows = rows.withColumn("_past", past).where((F.size("_past") == REACH) & spec.y.isNotNull())
     return rows.select(
-        *spec.ids, _vector(F.col("_past"), spec.t, F.col("i")).alias("features"), spec.y.alias("label"), "age"
+        *spec.ids, _vector(F.col("_past"), spec.t, F.col("i")).alias("features"), spec.y.alias("label"), "age", "n"
     )
 
 
@@ -98,22 +98,24 @@ def fit_ridge(train: DataFrame, alpha: float = 1.0):
     return LinearRegression(solver="normal", elasticNetParam=0.0, standardization=True, regParam=penalty).fit(train)
 
 
-def _few_partitions(train: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
-    """Small training tables in as few tasks as they need: boosting runs hundreds of short jobs."""
-    wanted = max(1, math.ceil(train.count() / rows_per_task))
-    # a fixed row order makes the seeded row samples repeatable
-    order = [c for c in train.columns if c != "features"]
-    return train.coalesce(wanted).sortWithinPartitions(*order)
+def seeded_rows(train: DataFrame, tasks: int) -> DataFrame:
+    """Rows dealt to ``tasks`` partitions by their ids and put in a fixed order there.
+
+    Samples of the tree learners are drawn by partition and place, so a seed means the same model however the input was
+    partitioned and whatever its size. ``tasks`` is part of the seed: more for larger tables.
+    """
+    ids = [c for c in train.columns if c not in ("features", "label")]
+    return train.repartition(tasks, *ids).sortWithinPartitions(F.xxhash64(*ids), *ids, "label")
 
 
-def fit_gbt(train: DataFrame, trees: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42):
+def fit_gbt(train: DataFrame, trees: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42, tasks: int = 16):
     return GBTRegressor(
         maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed
-    ).fit(_few_partitions(train))
+    ).fit(seeded_rows(train, tasks))
 
 
-def fit_random_forest(train: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42):
-    return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(_few_partitions(train))
+def fit_random_forest(train: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42, tasks: int = 16):
+    return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(seeded_rows(train, tasks))
 
 
 def predict(model, rows: DataFrame, spec: SeriesSpec, name: str) -> DataFrame:

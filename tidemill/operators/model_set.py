@@ -51,21 +51,6 @@ def forecasts(train: DataFrame, spec: SeriesSpec, horizon: int = 12, models: Ite
     return reduce(DataFrame.unionByName, (_fitted(MODELS[m](train, spec, horizon)) for m in models))
 
 
-def fold_forecasts(train: DataFrame, spec: SeriesSpec, horizon: int, models: Iterable[str], folds: Iterable[int]) -> DataFrame:
-    """Forecasts per ``fold``: models of single series fit all folds in one job, feature models one fold after
-    another, as a pooled model must not see a later fold's rows."""
-    fs = spec.with_keys(*spec.keys, "fold")
-    parts = []
-    for m in models:
-        if m in SERIES_MODELS:
-            parts.append(_fitted(MODELS[m](train, fs, horizon)))
-        else:
-            for k in folds:
-                own = train.where(F.col("fold") == k).drop("fold")
-                parts.append(_fitted(MODELS[m](own, spec, horizon)).withColumn("fold", F.lit(k)))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def backtest_predictions(df: DataFrame, spec: SeriesSpec, test_size: int = 12, models: Iterable[str] = tuple(MODELS)) -> DataFrame:
     """The newest ``test_size`` rows of every series by every model: keys, model, time, y, yhat.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators import anomaly, describe, ensemble, evaluate, forecast, prepare
+from tidemill.operators import anomaly, describe, ensemble, evaluate, forecast, model_set, prepare
 from tidemill.plans import tables as tb
 from tidemill.plans.registry import query, r, rs
 from tidemill.plans.sqlmath import cdf, poly, ppf
+from tidemill.session import cut_lineage
 
 SEG = tb.SEGMENT
 GREC = f"WITH RECURSIVE {tb.SEGMENT_GRID_SQL}"
@@ -495,12 +496,20 @@ def forecast_model_choice(spark, folder):
 
 
 @query(
-    "forecast_all_models",
+    "forecast_all_averages",
     f"""{GREC}{FC}{BM}{RANK_CTE} SELECT segment, model, step, date, {rs('yhat', *FIVE)}, n,
-        FIRST_VALUE(model) OVER (PARTITION BY segment ORDER BY rank) AS best_model FROM fc JOIN rk USING (segment, model) WHERE step <= 6""",
+        FIRST_VALUE(model) OVER (PARTITION BY segment ORDER BY rank) AS best_model FROM fc JOIN rk USING (segment, model)""",
 )
+def forecast_all_averages(spark, folder):
+    return ensemble.forecast_all_models(averages(series(spark, folder)), backtest_metrics(spark, folder), SEG)
+
+
+@query("forecast_all_models")
 def forecast_all_models(spark, folder):
-    return ensemble.forecast_all_models(averages(series(spark, folder)), backtest_metrics(spark, folder), SEG, 6)
+    """Twelve steps by each of the seven models, with its errors on the newest rows and the best model of the segment."""
+    df = cut_lineage(series(spark, folder).select("segment", "date", "y"))
+    errors = evaluate.regression_metrics(model_set.backtest_predictions(df, SEG, TEST), SEG)
+    return ensemble.forecast_all_models(model_set.forecasts(df, SEG, 12), errors, SEG)
 
 
 SUMMARY_CTE = """,
@@ -563,4 +572,4 @@ def walk_forward_cv_average(spark, folder):
 
 @query("walk_forward_cv")
 def walk_forward_cv(spark, folder):
-    return evaluate.walk_forward_cv(series(spark, folder), SEG)
+    return evaluate.walk_forward_cv(series(spark, folder), SEG, models=tuple(model_set.MODELS))
