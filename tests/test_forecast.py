@@ -211,7 +211,7 @@ def test_permutation_importance_uses_every_value_once_and_finds_signal(spark, sp
     df = trending(spark)
     rows = ml.model_rows(df, spec)
     model = ml.fit_ridge(rows)
-    out = {r.feature: r.importance for r in ml.permutation_importance(model, rows, spec, repeats=20, block=50).collect()}
+    out = {r.feature: r.importance for r in ml.permutation_importance(model, rows, spec, repeats=20).collect()}
     assert set(out) == set(ml.feature_names())
     # a linear model loses 2 beta^2 var(x) / var(y) when x is shuffled (residuals are small here)
     x = np.array([r.features.toArray() for r in rows.collect()])
@@ -280,3 +280,49 @@ def test_a_seed_means_the_same_trees_however_rows_are_partitioned(spark, spec, f
     rows = ml.model_rows(trending(spark, 12, 80), spec).cache()
     trees = {fit(rows.repartition(n)).toDebugString.split("\n", 1)[1] for n in (1, 4, 32)}
     assert len(trees) == 1
+
+
+def test_keyed_permutations_are_bijections_and_differ():
+    from tidemill.operators.shuffles import permuted
+
+    for n in (1, 2, 3, 4, 5, 100, 4097, 100_001):
+        seen = [permuted(np.arange(n), np.full(n, key), n) for key in (1, 2)]
+        assert all(sorted(s.tolist()) == list(range(n)) for s in seen)
+        if n >= 100:
+            assert (seen[0] == seen[1]).mean() < 0.1 and (seen[0] == np.arange(n)).mean() < 0.1
+            assert abs(np.corrcoef(seen[0], np.arange(n))[0, 1]) < 0.3
+
+
+@pytest.mark.parametrize("n", [10_000, 150_000])
+def test_ranks_do_not_depend_on_partitions(spark, n):
+    from tidemill.operators.shuffles import with_rank
+
+    rows = spark.range(n).select(F.col("id"), (F.col("id") % 7).cast("string").alias("k"))
+    sums = set()
+    for parts in (1, 9, 40):
+        ranked = with_rank(rows.repartition(parts), ["k", "id"])
+        total = ranked.agg(F.count_distinct("rank").alias("d"), F.max("rank").alias("m"), F.sum(F.xxhash64("k", "id", "rank").cast("decimal(38,0)")).alias("s")).first()
+        assert (total.d, total.m) == (n, n - 1)
+        sums.add(total.s)
+    assert len(sums) == 1
+
+
+def test_permutation_importance_equals_numpy_with_the_same_permutation(spark, spec):
+    from tidemill.operators.shuffles import permuted, with_rank
+
+    rows = ml.model_rows(trending(spark, 3, 40), spec)
+    model = ml.fit_ridge(rows)
+    ranked = sorted(with_rank(rows, spec.ids, "rank").collect(), key=lambda r: r["rank"])
+    x, y = np.array([r.features.toArray() for r in ranked]), np.array([r.label for r in ranked])
+    score = lambda z: 1 - ((y - z @ model.coefficients.toArray() - model.intercept) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    want = {}
+    for j, name in enumerate(ml.feature_names()):
+        drops = []
+        for repeat in (1, 2, 3):
+            z = x.copy()
+            z[:, j] = x[permuted(np.arange(len(x)), np.full(len(x), 7 * 1_000_003 + repeat), len(x)), j]
+            drops.append(score(x) - score(z))
+        want[name] = (np.mean(drops), np.std(drops))
+    for parts in (1, 11):
+        got = {r.feature: (r.importance, r.importance_std) for r in ml.permutation_importance(model, rows.repartition(parts), spec, 3, seed=7).collect()}
+        assert all(got[f] == pytest.approx(want[f], abs=1e-8) for f in want)

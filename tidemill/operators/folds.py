@@ -7,8 +7,8 @@ on the same written table. Test rows are predicted from the values before them,
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Sequence
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -92,19 +92,22 @@ def ridge_fold_predictions(rows: DataFrame, spec: SeriesSpec, n_splits: int = 5,
 
 
 def fold_predictions(
-    rows: DataFrame, spec: SeriesSpec, models: Iterable[str], fits: dict, n_splits: int = 5, test_size: int = 12
+    rows: DataFrame, spec: SeriesSpec, models: Sequence[str], fits: dict, n_splits: int = 5, test_size: int = 12
 ) -> DataFrame:
     """keys, time, fold, model, y, yhat of every test row by the named feature models; ``rows`` should be a written table."""
-    marked, parts = with_folds(rows, n_splits, test_size), []
-    for m in models:
-        if m == "ridge":
-            parts.append(ridge_fold_predictions(marked, spec, n_splits))
-            continue
-        for k in range(1, n_splits + 1):
-            train = marked.where(F.col("first_fold") <= k)
-            if train.first() is not None:
-                ahead = ml.predict(fits[m](train), marked.where(F.col("test_fold") == k), spec, m)
-                parts.append(ahead.select(*spec.ids, F.lit(k).alias("fold"), "model", "y", "yhat"))
+    marked = with_folds(rows, n_splits, test_size)
+    parts = [ridge_fold_predictions(marked, spec, n_splits)] if "ridge" in models else []
+
+    def fitted(m: str, k: int) -> DataFrame | None:
+        train = marked.where(F.col("first_fold") <= k)
+        if train.first() is None:
+            return None
+        ahead = ml.predict(fits[m](train), marked.where(F.col("test_fold") == k), spec, m)
+        return ahead.select(*spec.ids, F.lit(k).alias("fold"), "model", "y", "yhat")
+
+    # the largest folds first, as they take longest
+    work = [partial(fitted, m, k) for k in range(n_splits, 0, -1) for m in models if m != "ridge"]
+    parts += [p for p in ml.side_by_side(rows.sparkSession, work) if p is not None]
     if not parts:
         return marked.limit(0).select(*spec.ids, F.lit(1).alias("fold"), F.lit("").alias("model"), F.col("label").alias("y"), F.col("label").alias("yhat"))
     return reduce(DataFrame.unionByName, parts)

@@ -7,15 +7,19 @@ step is a plain projection: no window, no shuffle, no second feature definition.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import dbl, div, let
 from tidemill.operators.describe import at_age, with_index
 from tidemill.operators.forecast import long_forecast
+from tidemill.operators.shuffles import permuted_place, with_rank
 from tidemill.session import cut_lineage
 from tidemill.spec import SeriesSpec
 
@@ -108,16 +112,24 @@ def seeded_rows(train: DataFrame, tasks: int) -> DataFrame:
     return train.repartition(tasks, *ids).sortWithinPartitions(F.xxhash64(*ids), *ids, "label")
 
 
-def fit_gbt(train: DataFrame, trees: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42, tasks: int = 16):
+def fit_gbt(train: DataFrame, trees: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42, tasks: int = 4):
     return GBTRegressor(
         maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed
     ).fit(seeded_rows(train, tasks))
 
 
-def fit_random_forest(train: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42, tasks: int = 16):
+def fit_random_forest(train: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42, tasks: int = 4):
     return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(seeded_rows(train, tasks))
 
 
+def side_by_side(spark, work: Sequence[Callable[[], object]], at_once: int = 8) -> list:
+    """Results of independent fits, several at a time: learning trees is a chain of short jobs that leaves most cores idle."""
+    if not work:
+        return []
+    with ThreadPool(min(at_once, len(work))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda f: f()), work)
+
+
 def predict(model, rows: DataFrame, spec: SeriesSpec, name: str) -> DataFrame:
     """Long predictions: keys, model, time, y, yhat."""
     scored = model.setPredictionCol("yhat").transform(rows)
@@ -167,30 +179,21 @@ def forecast_recursive(
 # -- permutation importance --------------------------------------------------
 
 
-def permutation_importance(
-    model, rows: DataFrame, spec: SeriesSpec, repeats: int = 10, seed: int = 42, block: int = 100_000
-) -> DataFrame:
+def permutation_importance(model, rows: DataFrame, spec: SeriesSpec, repeats: int = 10, seed: int = 42) -> DataFrame:
     """Drop of R2 when one feature is shuffled, mean and population std over the repeats.
 
-    Rows are spread over random blocks by a hash of their id and shuffled within
-    their block, a new blocking for each repeat: every value is used exactly once
-    and no task sees more than a block. All features and repeats are scored in one job.
+    Rows get a rank by a hash of their ids; in repeat r, row k takes the features, one after another, of the row that a keyed bijection
+    of all ranks names. Every value is used exactly once, the shuffle is over the whole table at every size, and the result depends
+    neither on partitions nor on row order. All features and repeats are scored in one job.
     """
     names = feature_names()
-    rows = rows.select(*spec.ids, "features", "label")
-    blocks = max(1, math.ceil(rows.count() / block))
-    ids = [F.col(c) for c in spec.ids]
-    runs = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    runs = runs.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "repeat", *ids), F.lit(blocks)))
-
-    def place(salt: str) -> Column:
-        order = Window.partitionBy("repeat", "_block").orderBy(F.xxhash64(F.lit(salt), F.lit(seed), "repeat", *ids), *ids)
-        return F.row_number().over(order)
-
-    takers = runs.withColumn("_place", place("taker"))
-    givers = runs.select("repeat", "_block", place("giver").alias("_place"), vector_to_array("features").alias("_given"))
-    joined = takers.join(givers, ["repeat", "_block", "_place"])
-    joined = joined.withColumn("_own", vector_to_array("features"))
+    ranked = cut_lineage(with_rank(rows.select(*spec.ids, "features", "label"), spec.ids, "_rank").select("_rank", "features", "label"))
+    n = ranked.count()
+    key = F.lit(seed).cast("bigint") * F.lit(1_000_003) + F.col("repeat")
+    takers = ranked.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    takers = takers.withColumn("_giver", permuted_place(F.col("_rank"), key, n))
+    givers = ranked.select(F.col("_rank").alias("_giver"), vector_to_array("features").alias("_given"))
+    joined = takers.join(givers, "_giver").withColumn("_own", vector_to_array("features"))
     trials = joined.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
     mixed = F.transform("_own", lambda v, j: F.when(j == F.col("_f"), F.col("_given")[j]).otherwise(v))
     trials = trials.select("repeat", "_f", "label", array_to_vector(mixed).alias("features"))
@@ -200,9 +203,9 @@ def permutation_importance(
         e = F.col("label") - F.col("_yhat")
         return dbl(1.0) - div(F.sum(e * e), F.var_pop("label") * F.count("label"))
 
-    base = scorer.transform(rows).agg(r2().alias("r2")).first().r2
+    base = scorer.transform(ranked).agg(r2().alias("r2")).first().r2
     scored = scorer.transform(trials).groupBy("_f", "repeat").agg(r2().alias("_r2"))
-    drop = dbl(base) - F.col("_r2")
+    drop = F.lit(base).cast("double") - F.col("_r2")
     by_feature = scored.groupBy("_f").agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("importance_std"))
     label = F.array(*[F.lit(n) for n in names])[F.col("_f")]
     return by_feature.select(label.alias("feature"), "importance", "importance_std")

@@ -8,7 +8,7 @@ is never scored under the model's name; ``failed_fits`` counts them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +48,8 @@ MODELS: dict[str, Model] = SERIES_MODELS | FEATURE_MODELS
 
 def forecasts(train: DataFrame, spec: SeriesSpec, horizon: int = 12, models: Iterable[str] = tuple(MODELS)) -> DataFrame:
     """Long forecasts of all named models."""
-    return reduce(DataFrame.unionByName, (_fitted(MODELS[m](train, spec, horizon)) for m in models))
+    work = [partial(lambda m: _fitted(MODELS[m](train, spec, horizon)), m) for m in models]
+    return reduce(DataFrame.unionByName, ml.side_by_side(train.sparkSession, work))
 
 
 def backtest_predictions(df: DataFrame, spec: SeriesSpec, test_size: int = 12, models: Iterable[str] = tuple(MODELS)) -> DataFrame:
@@ -65,7 +66,7 @@ def backtest_predictions(df: DataFrame, spec: SeriesSpec, test_size: int = 12, m
         parts.append(forecasts(train, spec, test_size, own).drop("step").join(actual, spec.ids))
     if own := [m for m in models if m in FEATURE_MODELS]:
         past, ahead = ml.split_rows(cut_lineage(ml.model_rows(df, spec)), test_size)
-        parts += [ml.predict(FEATURE_FITS[m](past), ahead, spec, m) for m in own]
+        parts += ml.side_by_side(df.sparkSession, [partial(lambda m: ml.predict(FEATURE_FITS[m](past), ahead, spec, m), m) for m in own])
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
