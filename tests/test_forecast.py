@@ -326,3 +326,20 @@ def test_permutation_importance_equals_numpy_with_the_same_permutation(spark, sp
     for parts in (1, 11):
         got = {r.feature: (r.importance, r.importance_std) for r in ml.permutation_importance(model, rows.repartition(parts), spec, 3, seed=7).collect()}
         assert all(got[f] == pytest.approx(want[f], abs=1e-8) for f in want)
+
+
+def test_importance_comes_from_the_fitted_models(spark, spec):
+    from tidemill.operators import explain
+
+    rows = ml.model_rows(trending(spark, 4, 70), spec).cache()
+    models = {"ridge": ml.fit_ridge(rows), "forest": ml.fit_random_forest(rows, trees=5)}
+    out = {(r.model, r.feature): r.importance for r in ml.fitted_importance(models, rows).collect()}
+    x = np.array([r.features.toArray() for r in rows.collect()])
+    want = np.abs(models["ridge"].coefficients.toArray()) * x.std(axis=0, ddof=1)
+    names = ml.feature_names()
+    assert [out["ridge", f] for f in names] == pytest.approx((want / want.sum()).tolist())
+    assert [out["forest", f] for f in names] == pytest.approx(models["forest"].featureImportances.toArray().tolist())
+    ranked = explain.importance_ranked(ml.fitted_importance(models, rows), ["model"]).collect()
+    assert {r.model for r in ranked if r["rank"] == 1} == {"ridge", "forest"} and len(ranked) == 2 * len(names)
+    over = explain.importance_over_models(ml.fitted_importance(models, rows)).collect()
+    assert len(over) == 10 and all(r.models == 2 for r in over)

@@ -12,6 +12,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,6 +151,23 @@ def tree_importance(model, spark, name: str) -> DataFrame:
     )
 
 
+def fitted_importance(models: dict[str, object], train: DataFrame) -> DataFrame:
+    """(model, feature, importance) of fitted models; each model's importances sum to 1.
+
+    Trees: split importance. Linear models: size of the coefficient times the spread of its feature.
+    """
+    spread = train.agg(vector_to_array(Summarizer.std(F.col("features"))).alias("s")).first().s or []
+    rows = []
+    for name, model in models.items():
+        if hasattr(model, "featureImportances"):
+            weights = model.featureImportances.toArray().tolist()
+        else:
+            weights = [abs(float(c)) * s for c, s in zip(model.coefficients, spread)]
+        total = sum(weights) or 1.0
+        rows += [(name, f, float(w / total)) for f, w in zip(feature_names(), weights)]
+    return train.sparkSession.createDataFrame(rows, "model string, feature string, importance double")
+
+
 def forecast_recursive(
     model, df: DataFrame, spec: SeriesSpec, horizon: int = 12, name: str = "ridge", cut_every: int = 3
 ) -> DataFrame:

@@ -70,6 +70,13 @@ def backtest_predictions(df: DataFrame, spec: SeriesSpec, test_size: int = 12, m
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def importance_of_fits(train: DataFrame, models: Iterable[str] = tuple(FEATURE_FITS)) -> DataFrame:
+    """(model, feature, importance) of feature models fitted on ``train``, a written table of ``ml.model_rows``."""
+    names = tuple(models)
+    fits = ml.side_by_side(train.sparkSession, [partial(FEATURE_FITS[m], train) for m in names])
+    return ml.fitted_importance(dict(zip(names, fits)), train)
+
+
 def failed_fits(df: DataFrame, ahead: DataFrame, spec: SeriesSpec, models: Iterable[str] = tuple(MODELS)) -> DataFrame:
     """Per model: series in all, and series without a forecast in ``ahead``."""
     keys = df.select(*spec.keys).distinct().withColumn("model", F.explode(F.array(*(F.lit(m) for m in models))))

@@ -100,6 +100,36 @@ def failed_fits(spark, folder):
     return model_set.failed_fits(df, model_set.forecasts(df, tb.CUSTOMER, 3, names), tb.CUSTOMER, names)
 
 
+# -- importance of fitted models ---------------------------------------------
+
+
+def fitted(spark, folder) -> DataFrame:
+    """(model, feature, importance) of ridge, boosted trees and forest, learnt on all but the newest rows."""
+    _, train, _ = trained(spark, folder)
+    return model_set.importance_of_fits(train)
+
+
+@query("fitted_importance_ranked")
+def fitted_importance_ranked(spark, folder):
+    return explain.importance_ranked(fitted(spark, folder), ["model"])
+
+
+@query("fitted_importance_by_category")
+def fitted_importance_by_category(spark, folder):
+    return explain.importance_by_category(fitted(spark, folder), ["model"])
+
+
+@query("fitted_importance_over_models")
+def fitted_importance_over_models(spark, folder):
+    """Mean over the three models; here ``models`` counts models."""
+    return explain.importance_over_models(fitted(spark, folder))
+
+
+@query("fitted_explain_text")
+def fitted_explain_text(spark, folder):
+    return explain.explain_text(fitted(spark, folder), ["model"])
+
+
 # -- importance --------------------------------------------------------------
 
 # Stand-in importances that SQL can compute as well: |correlation| with the target per segment.
