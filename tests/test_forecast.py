@@ -343,3 +343,25 @@ def test_importance_comes_from_the_fitted_models(spark, spec):
     assert {r.model for r in ranked if r["rank"] == 1} == {"ridge", "forest"} and len(ranked) == 2 * len(names)
     over = explain.importance_over_models(ml.fitted_importance(models, rows)).collect()
     assert len(over) == 10 and all(r.models == 2 for r in over)
+
+
+def test_interleaved_saves_keep_all_versions_and_the_last_commit_wins(spark, spec, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidemill.sources.commits import claim_number
+
+    root = str(tmp_path / "store")
+    with ThreadPoolExecutor(8) as pool:
+        taken = list(pool.map(lambda _: claim_number(spark, root), range(24)))
+    assert sorted(taken) == list(range(1, 25))
+    save = lambda n: versions.save_version(trending(spark, 1, n), root, spec, f"w{n}", dt.datetime(2026, 1, 1), csv_copy=False)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(save, (20, 30)))
+    rows = spark.read.schema(versions.REGISTRY).parquet(f"{root}/registry").collect()
+    assert {r.source for r in rows} == {"w20", "w30"} and {r.number for r in rows} == {25, 26}
+    last = max(rows, key=lambda r: r.number)
+    assert versions.version_info(spark, root).first().source == last.source
+    assert versions.load_latest_version(spark, root, spec).count() == last.record_count
+    # a later commit is the newest whatever its time says
+    versions.save_version(trending(spark, 1, 9), root, spec, "late", dt.datetime(2020, 1, 1), csv_copy=False)
+    assert versions.version_info(spark, root).first().source == "late"

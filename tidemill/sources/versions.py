@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.columns import require
+from tidemill.sources.commits import claim_number
 from tidemill.spec import SeriesSpec
 
 REGISTRY = T.StructType(
@@ -23,6 +24,7 @@ REGISTRY = T.StructType(
         T.StructField("record_count", T.LongType()),
         T.StructField("source", T.StringType()),
         T.StructField("batch", T.StringType()),
+        T.StructField("number", T.LongType()),
     ]
 )
 
@@ -42,7 +44,8 @@ def save_version(
 
     Hash, span and CSV copy come from the rows as written, so whatever ``df`` is
     computed from is read a single time. A batch without registry entry (a failed
-    save) is never read.
+    save) is never read. The entry carries a commit number that no other save has: of interleaved
+    saves all stay, and the one that committed last is the newest.
     """
     require(df, spec.time)
     spark = df.sparkSession
@@ -58,14 +61,16 @@ def save_version(
     if csv_copy:
         kept.write.mode("overwrite").option("header", True).csv(f"{root}/csv/{version}")
     entry = [(version, facts.hash, created_at, facts.start_date, facts.end_date, facts.record_count, source, batch)]
-    spark.createDataFrame(entry, REGISTRY).coalesce(1).write.mode("append").parquet(f"{root}/registry")
+    # a folder of its own for each commit: writers of one folder remove each other's temporary files
+    folder = f"{root}/registry/number={claim_number(spark, root)}"
+    spark.createDataFrame(entry, T.StructType(REGISTRY.fields[:-1])).coalesce(1).write.parquet(folder)
     return version
 
 
 def version_info(spark: SparkSession, root: str) -> DataFrame:
-    """Newest registry row."""
+    """Registry row of the highest commit number."""
     rows = spark.read.schema(REGISTRY).parquet(f"{root}/registry")
-    return rows.orderBy(F.col("created_at").desc(), F.col("version").desc()).limit(1)
+    return rows.orderBy(F.desc("number")).limit(1)
 
 
 def load_latest_version(spark: SparkSession, root: str, spec: SeriesSpec) -> DataFrame:
