@@ -32,7 +32,7 @@ def test_facts_are_combined_before_any_shuffle(spark):
     assert any("partial_sum" in line for line in lines[first_shuffle:scan])
 
 
-@pytest.mark.parametrize("name", ["ensemble_inverse_rmse", "dashboard_kpis", "forecast_arima", "stationarity_verdict"])
+@pytest.mark.parametrize("name", ["ensemble_inverse_rmse", "forecast_explanation", "forecast_arima", "stationarity_verdict"])
 def test_facts_are_scanned_once_however_often_the_series_is_used(spark, name):
     df = entry.queries()[name](spark, FOLDER)
     df.collect()
@@ -53,6 +53,13 @@ def test_scans_read_only_needed_columns(spark):
     assert any("c_mktsegment" in s and "c_acctbal" not in s for s in schemas)
 
 
+@pytest.mark.parametrize("name", ["eda_report", "auto_insights", "executive_findings", "residual_report", "dashboard_kpis"])
+def test_reports_are_made_in_few_passes(spark, name):
+    plan = plan_of(entry.queries()[name](spark, FOLDER))
+    assert len(re.findall(r"\bExchange\b", plan)) <= 12 and len(re.findall(r"\bSort\b", plan)) <= 20
+    assert "FileScan" not in plan  # the series is written once
+
+
 QUICK = ("segment_overview", "calendar_fill", "union_anomalies", "acf", "walk_forward_folds", "ensemble_inverse_rmse", "scenario_projection")
 
 

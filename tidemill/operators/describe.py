@@ -9,19 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.columns import dbl, div, ladder, month_label, pct, polynomial, stable_round
 from tidemill.functions.distributions import normal_cdf, normal_ppf
+from tidemill.operators.parts import Part, alone, with_index
 from tidemill.spec import SeriesSpec
 
 
-def with_index(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Adds row index ``i`` from 0, ``age`` from 1 (newest) and series length ``n``.
-
-    The age follows from index and length, which saves a sort in the other direction.
-    """
-    out = df.withColumn("i", (F.row_number().over(spec.ordered()) - 1).cast("bigint"))
-    out = out.withColumn("n", F.count(F.lit(1)).over(spec.whole()))
-    return out.withColumn("age", F.col("n") - F.col("i"))
-
-
 def at_age(value: Column, k: int) -> Column:
     """Aggregate that picks the value of the k-th newest row."""
     return F.max(F.when(F.col("age") == k, value))
@@ -32,7 +23,14 @@ def at_age(value: Column, k: int) -> Column:
 
 def series_summary(df: DataFrame, spec: SeriesSpec, second: str | None = None) -> DataFrame:
     """Size, span, moments, quartiles, latest value, growth and volatility per series."""
-    rows = with_index(df, spec).withColumn("_diff", spec.y - F.lag(spec.value).over(spec.ordered()))
+    return alone(df, spec, SUMMARY._replace(aggs=lambda spec: _summary_aggs(spec, second)))
+
+
+def _steps(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
+    return rows.withColumn("_diff", spec.y - F.lag(spec.value).over(spec.ordered()))
+
+
+def _summary_aggs(spec: SeriesSpec, second: str | None = None) -> list[Column]:
     y, p = spec.y, spec.period
     aggs = [
         F.count(F.lit(1)).alias("total_records"),
@@ -55,7 +53,10 @@ def series_summary(df: DataFrame, spec: SeriesSpec, second: str | None = None) -
             F.coalesce(pct(at_age(v, 1), at_age(v, p + 1)), dbl(0.0)).alias(f"{second}_yoy"),
             F.coalesce(pct(at_age(v, 1), at_age(v, 2)), dbl(0.0)).alias(f"{second}_mom"),
         ]
-    return rows.groupBy(*spec.keys).agg(*aggs)
+    return aggs
+
+
+SUMMARY = Part(_summary_aggs, _steps)
 
 
 def _moments(v: Column, prefix: str) -> list[Column]:
@@ -97,23 +98,34 @@ def cagr(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
 
 
-def distribution_stats(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Population moments and percentiles."""
+CUTS = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+
+
+def _distribution_aggs(spec: SeriesSpec) -> list[Column]:
     y = spec.y
-    cuts = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    at = F.percentile(y, F.array(*[dbl(c) for c in cuts.values()]))
-    out = df.groupBy(*spec.keys).agg(
+    return [
         F.avg(y).alias("mean"),
         F.stddev_pop(y).alias("std"),
         F.var_pop(y).alias("variance"),
         F.min(y).alias("min"),
         F.max(y).alias("max"),
         (F.max(y) - F.min(y)).alias("range"),
-        at.alias("_p"),
+        F.percentile(y, F.array(*[dbl(c) for c in CUTS.values()])).alias("_p"),
         (div(F.stddev_pop(y), F.avg(y)) * dbl(100.0)).alias("cv"),
-    )
-    picks = [F.col("_p")[k].alias(name) for k, name in enumerate(cuts)]
-    return out.select("*", *picks, F.col("_p")[2].alias("median")).drop("_p")
+    ]
+
+
+def _distribution_picks(table: DataFrame, spec: SeriesSpec) -> DataFrame:
+    picks = [F.col("_p")[k].alias(name) for k, name in enumerate(CUTS)]
+    return table.select("*", *picks, F.col("_p")[2].alias("median")).drop("_p")
+
+
+DISTRIBUTION = Part(_distribution_aggs, finish=_distribution_picks)
+
+
+def distribution_stats(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Population moments and percentiles."""
+    return DISTRIBUTION.finish(df.groupBy(*spec.keys).agg(*DISTRIBUTION.aggs(spec)), spec)
 
 
 def skewness_text(s: Column) -> Column:
@@ -135,19 +147,28 @@ def kurtosis_text(k: Column) -> Column:
     return ladder(k, steps, "Light-tailed (platykurtic) - fewer outliers than normal")
 
 
-def skew_kurt(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Population skewness and excess kurtosis with their reading."""
+def _shape_aggs(spec: SeriesSpec) -> list[Column]:
     s, k = F.skewness(spec.y), F.kurtosis(spec.y)
-    return df.groupBy(*spec.keys).agg(
-        s.alias("skewness"), k.alias("kurtosis"), skewness_text(s).alias("skewness_text"), kurtosis_text(k).alias("kurtosis_text")
-    )
+    return [s.alias("skewness"), k.alias("kurtosis"), skewness_text(s).alias("skewness_text"), kurtosis_text(k).alias("kurtosis_text")]
 
 
-def jarque_bera(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+def _jarque_bera_aggs(spec: SeriesSpec) -> list[Column]:
     s, k, n = F.skewness(spec.y), F.kurtosis(spec.y), F.count(spec.y).cast("double")
     stat = n / dbl(6.0) * (s * s + k * k / dbl(4.0))
     p = F.exp(-stat / dbl(2.0))
-    return df.groupBy(*spec.keys).agg(stat.alias("jb"), p.alias("p_value"), (p > 0.05).alias("is_normal"))
+    return [stat.alias("jb"), p.alias("p_value"), (p > 0.05).alias("is_normal")]
+
+
+SHAPE, JARQUE_BERA = Part(_shape_aggs), Part(_jarque_bera_aggs)
+
+
+def skew_kurt(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Population skewness and excess kurtosis with their reading."""
+    return df.groupBy(*spec.keys).agg(*_shape_aggs(spec))
+
+
+def jarque_bera(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    return df.groupBy(*spec.keys).agg(*_jarque_bera_aggs(spec))
 
 
 # Royston (1995), algorithm AS R94, lowest power first.
@@ -257,26 +278,22 @@ def qq_points(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 # -- trend -------------------------------------------------------------------
 
 
-def _polynomial_fit(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Per key: projections of a complete series on the first orthogonal polynomials of the index.
-
-    On a regular grid centred at its middle, x and x^2 - mean are orthogonal and
-    x^3 only needs its x part removed, so least squares takes no matrix solve.
-    """
-    rows = with_index(df, spec)
-    c = F.col("i").cast("double") - (F.col("n").cast("double") - dbl(1.0)) / dbl(2.0)
-    rows = rows.withColumn("_c", c)
-    rows = rows.withColumns(
+def _polynomial_rows(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """The centred index ``_x`` of a complete series and its even moments."""
+    rows = rows.withColumn("_x", F.col("i").cast("double") - (F.col("n").cast("double") - dbl(1.0)) / dbl(2.0))
+    return rows.withColumns(
         {
-            "_m2": F.avg(F.col("_c") * F.col("_c")).over(spec.whole()),
-            "_m4": F.avg(F.pow("_c", F.lit(4.0))).over(spec.whole()),
+            "_m2": F.avg(F.col("_x") * F.col("_x")).over(spec.whole()),
+            "_m4": F.avg(F.pow("_x", F.lit(4.0))).over(spec.whole()),
         }
     )
-    c = F.col("_c")
+
+
+def _polynomial_aggs(spec: SeriesSpec) -> list[Column]:
+    c, y = F.col("_x"), spec.y
     p2 = c * c - F.col("_m2")
     p3 = c * c * c - c * div(F.col("_m4"), F.col("_m2"))
-    y = spec.y
-    fits = rows.groupBy(*spec.keys).agg(
+    return [
         F.count(F.lit(1)).alias("n"),
         F.avg(y).alias("mean"),
         (F.var_pop(y) * F.count(y)).alias("sst"),
@@ -285,13 +302,24 @@ def _polynomial_fit(df: DataFrame, spec: SeriesSpec) -> DataFrame:
         F.sum(y * c).alias("_y1"), F.sum(c * c).alias("_s1"),
         F.sum(y * p2).alias("_y2"), F.sum(p2 * p2).alias("_s2"),
         F.sum(y * p3).alias("_y3"), F.sum(p3 * p3).alias("_s3"),
-    )
+    ]
+
+
+def _projections(fits: DataFrame) -> DataFrame:
+    """Projections on the first orthogonal polynomials of the index and the share each explains.
+
+    On a regular grid centred at its middle, x and x^2 - mean are orthogonal and
+    x^3 only needs its x part removed, so least squares takes no matrix solve.
+    """
     for d in (1, 2, 3):
         fits = fits.withColumn(f"b{d}", F.when(F.col("n") > d, div(F.col(f"_y{d}"), F.col(f"_s{d}"))))
         fits = fits.withColumn(f"g{d}", div(F.col(f"b{d}") * F.col(f"_y{d}"), F.col("sst")))
     return fits
 
 
+POLYNOMIAL = Part(_polynomial_aggs, _polynomial_rows, lambda fits, spec: _projections(fits))
+
+
 def _raw_coefficients(degree: int) -> list[Column]:
     """Coefficients in powers of the row index, constant first."""
     h = (F.col("n").cast("double") - dbl(1.0)) / dbl(2.0)
@@ -306,7 +334,7 @@ def _raw_coefficients(degree: int) -> list[Column]:
 
 
 def _trend(df: DataFrame, spec: SeriesSpec, degree: int) -> DataFrame:
-    fits = _polynomial_fit(df, spec)
+    fits = alone(df, spec, POLYNOMIAL)
     names = ["intercept", "slope", "quadratic", "cubic"]
     r2 = sum((F.col(f"g{d}") for d in range(2, degree + 1)), F.col("g1"))
     coefficients = [c.alias(name) for c, name in zip(_raw_coefficients(degree), names)]
@@ -325,35 +353,33 @@ def trend_cubic(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return _trend(df, spec, 3)
 
 
-def trend_exponential(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Line through log(y + 1); R2 measured on the original scale."""
-    rows = with_index(df, spec)
+def _exponential_rows(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
     x, logs, whole = F.col("i").cast("double"), F.log(spec.y + dbl(1.0)), spec.whole()
-    rows = rows.withColumns(
-        {
-            "_rate": F.regr_slope(logs, x).over(whole),
-            "_level": F.regr_intercept(logs, x).over(whole),
-        }
-    )
-    miss = spec.y - (F.exp(F.col("_rate") * x + F.col("_level")) - dbl(1.0))
-    return rows.groupBy(*spec.keys).agg(
+    return rows.withColumns({"_rate": F.regr_slope(logs, x).over(whole), "_level": F.regr_intercept(logs, x).over(whole)})
+
+
+def _exponential_aggs(spec: SeriesSpec) -> list[Column]:
+    miss = spec.y - (F.exp(F.col("_rate") * F.col("i").cast("double") + F.col("_level")) - dbl(1.0))
+    return [
         F.first("_level").alias("intercept"),
         F.first("_rate").alias("rate"),
         (dbl(1.0) - div(F.sum(miss * miss), F.var_pop(spec.y) * F.count(spec.y))).alias("r2"),
-    )
+    ]
 
 
-def trend_type(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Which trend shape explains the series, and how fast it grows."""
-    keys = list(spec.keys)
-    fits = _polynomial_fit(df, spec).select(
-        *keys, F.col("mean"), F.col("b1").alias("linear_slope"), F.col("g1").alias("linear_r2"),
-        (F.col("g1") + F.col("g2")).alias("polynomial_r2"),
-    )
-    exponential = trend_exponential(df, spec).select(
-        *keys, F.col("rate").alias("exponential_rate"), F.col("r2").alias("exponential_r2")
+EXPONENTIAL = Part(_exponential_aggs, _exponential_rows)
+
+
+def trend_exponential(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Line through log(y + 1); R2 measured on the original scale."""
+    return alone(df, spec, EXPONENTIAL)
+
+
+def _trend_reading(fits: DataFrame, spec: SeriesSpec) -> DataFrame:
+    out = _projections(fits).select(
+        *spec.keys, F.col("mean"), F.col("b1").alias("linear_slope"), F.col("g1").alias("linear_r2"),
+        (F.col("g1") + F.col("g2")).alias("polynomial_r2"), F.col("rate").alias("exponential_rate"), F.col("r2").alias("exponential_r2"),
     )
-    out = fits.join(exponential, keys)
     kind = (
         F.when(F.col("linear_r2") > 0.95, F.lit("strong_linear"))
         .when(F.col("exponential_r2") > 0.95, F.lit("strong_exponential"))
@@ -372,6 +398,18 @@ def trend_type(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return out.withColumn("interpretation", text).drop("mean")
 
 
+TREND = Part(
+    lambda spec: [*_polynomial_aggs(spec), *_exponential_aggs(spec)],
+    lambda rows, spec: _exponential_rows(_polynomial_rows(rows, spec), spec),
+    _trend_reading,
+)
+
+
+def trend_type(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Which trend shape explains the series, and how fast it grows."""
+    return alone(df, spec, TREND)
+
+
 # -- seasonality -------------------------------------------------------------
 
 
@@ -387,36 +425,46 @@ def quarterly_pattern(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return out.withColumn("strongest_quarter", best)
 
 
-def _pattern(df: DataFrame, spec: SeriesSpec, part: Column, name: str) -> DataFrame:
+def _by_part(df: DataFrame, spec: SeriesSpec, part: Column, name: str) -> DataFrame:
+    """Statistics per part of the year with the mean of the series and the sum of squares inside each part."""
     y, whole = spec.y, spec.whole()
     by_part = df.groupBy(*spec.keys, part.alias(name)).agg(
         F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.count(y).alias("count"),
-        F.min(y).alias("min"), F.max(y).alias("max"), F.sum(y).alias("_sum"),
+        F.min(y).alias("min"), F.max(y).alias("max"), F.sum(y).alias("_sum"), (F.var_pop(y) * F.count(y)).alias("_within"),
     )
-    overall = div(F.sum("_sum").over(whole), F.sum("count").over(whole))
-    out = by_part.withColumn("overall_mean", overall).drop("_sum")
+    out = by_part.withColumn("overall_mean", div(F.sum("_sum").over(whole), F.sum("count").over(whole))).drop("_sum")
     out = out.withColumn("seasonal_factor", div(F.col("mean"), F.col("overall_mean")))
     return out.withColumn("is_peak", F.col("seasonal_factor") > 1.1).withColumn("is_low", F.col("seasonal_factor") < 0.9)
 
 
+def _pattern(df: DataFrame, spec: SeriesSpec, part: Column, name: str) -> DataFrame:
+    return _by_part(df, spec, part, name).drop("_within")
+
+
 def seasonal_strength(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Variance of month means over the variance of the series (both sample)."""
-    y = spec.y
-    months = df.groupBy(*spec.keys, F.month(spec.t).alias("_month")).agg(
-        F.avg(y).alias("_mean"), F.count(y).alias("_n"), (F.var_pop(y) * F.count(y)).alias("_within")
-    )
+    return season(df, spec).select(*spec.keys, "strength", "strength_label")
+
+
+def season(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Per series: strength of the season and its label, the months' statistics in order, and the names of peak months."""
+    months = _by_part(df, spec, F.month(spec.t), "month")
+    fields = [c for c in months.columns if c not in (*spec.keys, "_within")]
+    gap = F.col("mean") - F.col("overall_mean")
     # total sum of squares = within months + between months around the grand mean
-    grand = div(F.sum(F.col("_mean") * F.col("_n")).over(spec.whole()), F.sum("_n").over(spec.whole()).cast("double"))
-    months = months.withColumn("_d", F.col("_mean") - grand)
-    total = F.sum(F.col("_within") + F.col("_n") * F.col("_d") * F.col("_d"))
+    total = F.sum(F.col("_within") + F.col("count") * gap * gap)
     out = months.groupBy(*spec.keys).agg(
-        F.var_samp("_mean").alias("_between"), div(total, F.sum("_n") - dbl(1.0)).alias("_total")
+        F.var_samp("mean").alias("_between"), div(total, F.sum("count") - dbl(1.0)).alias("_total"),
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("months"),
     )
     strength = div(F.col("_between"), F.col("_total"))
     label = F.when(F.col("_total") == 0, F.lit("none")).otherwise(
         ladder(strength, ((0.6, "strong"), (0.3, "moderate"), (0.1, "weak")), "negligible")
     )
-    return out.select(*spec.keys, strength.alias("strength"), label.alias("strength_label"))
+    peaks = F.transform(F.filter("months", lambda m: m["is_peak"]), lambda m: m["month"].cast("string"))
+    return out.select(
+        *spec.keys, strength.alias("strength"), label.alias("strength_label"), "months", F.array_join(peaks, ", ").alias("peaks")
+    )
 
 
 # -- growth ------------------------------------------------------------------

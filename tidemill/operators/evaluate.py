@@ -167,6 +167,7 @@ def interval_coverage(banded: DataFrame, spec: SeriesSpec) -> DataFrame:
 def residual_report(predictions: DataFrame, spec: SeriesSpec) -> DataFrame:
     """All residual diagnostics of a (key, model) in one row; the small tables join on it."""
     keys = [*spec.keys, "model"]
+    predictions = cut_lineage(predictions.select(*spec.ids, "model", "y", "yhat"))
     stats = residual_stats(predictions, spec)
     normal = residual_normality(predictions, spec).select(*keys, "shapiro_p", "jb_p", "skewness", "kurtosis")
     lb = ljung_box(predictions, spec).select(*keys, "lb_stat", "lb_pvalue", "has_autocorrelation")

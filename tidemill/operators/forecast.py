@@ -27,12 +27,12 @@ SCENARIO_PRESETS = (
 FESTIVE_MONTHS = (10, 11, 12)
 
 
-def long_forecast(paths: DataFrame, spec: SeriesSpec, model: str, path: str = "path", last: str = "last") -> DataFrame:
-    """One row per key with an array of future values -> long forecast."""
+def long_forecast(paths: DataFrame, spec: SeriesSpec, model: str | None = None, path: str = "path", last: str = "last") -> DataFrame:
+    """One row per key (and model, where no name is given) with an array of future values -> long forecast."""
     rows = paths.select("*", F.posexplode(path).alias("_at", "yhat"))
     step = (F.col("_at") + 1).cast("int")
     return rows.select(
-        *spec.keys, F.lit(model).alias("model"), step.alias("step"), spec.shift(F.col(last), step).alias(spec.time), "yhat"
+        *spec.keys, (F.lit(model) if model else F.col("model")).alias("model"), step.alias("step"), spec.shift(F.col(last), step).alias(spec.time), "yhat"
     )
 
 
@@ -64,6 +64,19 @@ def forecast_moving_average(
     return long_forecast(paths.withColumn("path", moving_average_path(F.col("_recent"), horizon)), spec, model)
 
 
+def forecast_moving_averages(df: DataFrame, spec: SeriesSpec, windows: Sequence[int] = (3, 6, 12), horizon: int = 12) -> DataFrame:
+    """Several window lengths from one pass, as models ``ma_<window>``."""
+    def path(w: int) -> Column:
+        recent = F.array_compact(F.array(*[at_age(spec.y, k) for k in range(w, 0, -1)]))
+        return F.struct(F.lit(f"ma_{w}").alias("model"), recent.alias("recent"))
+
+    rows = with_index(df, spec).where(F.col("age") <= max(windows))
+    paths = rows.groupBy(*spec.keys).agg(F.array(*[path(w) for w in windows]).alias("_paths"), F.max(spec.time).alias("last"))
+    paths = paths.select(*spec.keys, "last", F.explode("_paths").alias("_p"))
+    paths = paths.select(*spec.keys, F.col("_p.model").alias("model"), "last", moving_average_path(F.col("_p.recent"), horizon).alias("path"))
+    return long_forecast(paths, spec)
+
+
 def one_step_average(df: DataFrame, spec: SeriesSpec, windows: Sequence[int] = (3, 6, 12)) -> DataFrame:
     """In-sample one-step predictions of moving averages, long: keys, time, model, y, yhat."""
     means = rolling_stats(spec, windows, median=False)
@@ -193,7 +206,7 @@ def forecast_arma(df: DataFrame, spec: SeriesSpec, shape: ArmaShape, horizon: in
     rows = fits.select("*", F.posexplode("path").alias("_at", "yhat"))
     step = (F.col("_at") + 1).cast("int")
     return rows.select(
-        *spec.keys, F.lit(model).alias("model"), step.alias("step"), spec.shift(F.col("last"), step).alias(spec.time), "yhat", "status"
+        *spec.keys, (F.lit(model) if model else F.col("model")).alias("model"), step.alias("step"), spec.shift(F.col("last"), step).alias(spec.time), "yhat", "status"
     )
 
 

@@ -13,26 +13,42 @@ from pyspark.sql import types as T
 from tidemill.functions.columns import dbl, div, ladder
 from tidemill.functions.distributions import chi2_tail_even, normal_cdf
 from tidemill.operators.linalg import VECTOR, stack
+from tidemill.operators.parts import Part, together
 from tidemill.spec import SeriesSpec
 
 # -- autocorrelation ---------------------------------------------------------
 
 
+def _lag_rows(nlags: int):
+    def rows(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+        out = df.withColumn("_d", spec.y - F.avg(spec.value).over(spec.whole()))
+        return out.withColumns({f"_l{k}": F.lag("_d", k).over(spec.ordered()) for k in range(1, nlags + 1)})
+
+    return rows
+
+
+def _lag_sums(nlags: int):
+    def aggs(spec: SeriesSpec) -> list[Column]:
+        d, n = F.col("_d"), F.count(F.col("_d")).cast("double")
+        sums = [F.sum(d * d)] + [F.coalesce(F.sum(d * F.col(f"_l{k}")), dbl(0.0)) for k in range(1, nlags + 1)]
+        return [F.count("_d").alias("n"), F.array(*[div(s, n) for s in sums]).alias("acov")]
+
+    return aggs
+
+
 def autocovariance(df: DataFrame, spec: SeriesSpec, nlags: int) -> DataFrame:
     """Per key: length and the biased autocovariances of lags 0..nlags as an array."""
-    rows = df.withColumn("_d", spec.y - F.avg(spec.value).over(spec.whole()))
-    lagged = {f"_l{k}": F.lag("_d", k).over(spec.ordered()) for k in range(1, nlags + 1)}
-    rows = rows.withColumns(lagged)
-    d, n = F.col("_d"), F.count(F.col("_d")).cast("double")
-    sums = [F.sum(d * d)] + [F.coalesce(F.sum(d * F.col(c)), dbl(0.0)) for c in lagged]
-    return rows.groupBy(*spec.keys).agg(F.count("_d").alias("n"), F.array(*[div(s, n) for s in sums]).alias("acov"))
+    return _lag_rows(nlags)(df, spec).groupBy(*spec.keys).agg(*_lag_sums(nlags)(spec))
+
+
+def _scaled(table: DataFrame, spec: SeriesSpec) -> DataFrame:
+    scaled = F.transform("acov", lambda v: v / F.col("acov")[0])
+    return table.select(*spec.keys, "n", F.when(F.col("acov")[0] > 0, scaled).alias("acf"))
 
 
 def acf_arrays(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> DataFrame:
     """Per key: length and autocorrelations of lags 0..nlags (null for a flat series)."""
-    out = autocovariance(df, spec, nlags)
-    scaled = F.transform("acov", lambda v: v / F.col("acov")[0])
-    return out.select(*spec.keys, "n", F.when(F.col("acov")[0] > 0, scaled).alias("acf"))
+    return _scaled(autocovariance(df, spec, nlags), spec)
 
 
 def band(n: Column) -> Column:
@@ -88,7 +104,11 @@ def pacf(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> DataFrame:
 
 def acf_interpretation(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> DataFrame:
     """Seasonality, memory and AR hints, decay, and the first significant lags."""
-    rows = pacf_arrays(df, spec, nlags)
+    return _acf_reading(acf_arrays(df, spec, nlags), spec, nlags)
+
+
+def _acf_reading(arrays: DataFrame, spec: SeriesSpec, nlags: int) -> DataFrame:
+    rows = with_pacf(arrays)
     a, p = F.col("acf"), F.col("pacf")
     limit = band(F.col("n"))
     significant = F.filter(F.sequence(F.lit(1), F.lit(nlags)), lambda k: F.abs(F.get(a, k)) > limit)
@@ -112,6 +132,11 @@ def acf_interpretation(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> Data
     )
 
 
+def autocorrelation_part(nlags: int = 24) -> Part:
+    """``acf_interpretation`` as a part of reports."""
+    return Part(_lag_sums(nlags), _lag_rows(nlags), lambda table, spec: _acf_reading(_scaled(table, spec), spec, nlags))
+
+
 def differenced(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """First differences, the first row dropped."""
     out = df.withColumn("_w", spec.y - F.lag(spec.value).over(spec.ordered()))
@@ -152,21 +177,31 @@ def _dot(values: Column, n: Column, lag: Column) -> Column:
     return F.aggregate(product, dbl(0.0), lambda acc, v: acc + v)
 
 
+def _kpss_rows(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    rows = df.withColumn("_e", spec.y - F.avg(spec.value).over(spec.whole()))
+    return rows.withColumn("_run", F.sum("_e").over(spec.ordered().rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _kpss_aggs(spec: SeriesSpec) -> list[Column]:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(spec.time, "_e"))), lambda s: s["_e"])
+    return [
+        F.count("_e").alias("n"),
+        F.sum(F.col("_run") * F.col("_run")).alias("_eta"),
+        F.sum(F.col("_e") * F.col("_e")).alias("_s0"),
+        ordered.alias("_r"),
+    ]
+
+
 def kpss_test(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Level-stationarity test with the automatic lag of Hobijn et al. (1998).
 
     The residuals of one series travel as one array, bounded by its calendar, so
     that any lag the rule picks can be evaluated without a further shuffle.
     """
-    rows = df.withColumn("_e", spec.y - F.avg(spec.value).over(spec.whole()))
-    rows = rows.withColumn("_c", F.sum("_e").over(spec.ordered().rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(spec.time, "_e"))), lambda s: s["_e"])
-    agg = rows.groupBy(*spec.keys).agg(
-        F.count("_e").alias("n"),
-        F.sum(F.col("_c") * F.col("_c")).alias("_eta"),
-        F.sum(F.col("_e") * F.col("_e")).alias("_s0"),
-        ordered.alias("_r"),
-    )
+    return _kpss_reading(_kpss_rows(df, spec).groupBy(*spec.keys).agg(*_kpss_aggs(spec)), spec)
+
+
+def _kpss_reading(agg: DataFrame, spec: SeriesSpec) -> DataFrame:
     r, count = F.col("_r"), F.col("n")
     n = count.cast("double")
     cover = F.floor(F.pow(n, dbl(2.0 / 9.0)))
@@ -287,8 +322,15 @@ def adf_test(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     The largest lag is 12 (n/100)^(1/4), at most n/2 - 2. One exchange brings each series, bounded by
     its calendar, into one array; many series are fitted per Arrow batch.
     """
+    return _adf_reading(df.groupBy(*spec.keys).agg(*_adf_aggs(spec)), spec)
+
+
+def _adf_aggs(spec: SeriesSpec) -> list[Column]:
     pairs = F.sort_array(F.collect_list(F.struct(spec.t.alias("t"), spec.y.cast("double").alias("y"))))
-    series = df.groupBy(*spec.keys).agg(F.transform(pairs, lambda p: p["y"]).alias("_values"))
+    return [F.transform(pairs, lambda p: p["y"]).alias("_values")]
+
+
+def _adf_reading(series: DataFrame, spec: SeriesSpec) -> DataFrame:
     out = series.select(*spec.keys, _adf("_values").alias("_fit")).select(*spec.keys, "_fit.*")
     tau, size = F.col("adf_stat"), F.col("nobs").cast("double")
     small = normal_cdf(_powers(tau, ADF_SMALL_P))
@@ -319,16 +361,28 @@ def _powers(x: Column, c) -> Column:
     return out
 
 
+ADF, KPSS = Part(_adf_aggs, finish=_adf_reading), Part(_kpss_aggs, _kpss_rows, _kpss_reading)
+
+
 def stationarity_verdict(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Both tests together: how many agree, and the differencing advice."""
-    keys = list(spec.keys)
-    adf = adf_test(df, spec).select(*keys, "adf_stat", F.col("p_value").alias("adf_p"), F.col("is_stationary").alias("adf_stationary"))
-    kpss = kpss_test(df, spec).select(*keys, "kpss_stat", F.col("p_value").alias("kpss_p"), F.col("is_stationary").alias("kpss_stationary"))
-    out = adf.join(kpss, keys)
-    passed = sum((F.coalesce(F.col(c), F.lit(False)).cast("int") for c in ("adf_stationary", "kpss_stationary")), F.lit(0))
-    out = out.withColumn("passed", passed).withColumn("is_stationary", F.col("passed") >= 1)
-    out = out.withColumn("confidence", ladder(F.col("passed"), ((1.5, "high"), (0.5, "moderate")), "low"))
-    advice = F.when(
-        F.col("passed") >= 1, F.lit("Series may be stationary. Consider d=0 or d=1 for ARIMA.")
-    ).otherwise(F.lit("Series is non-stationary. Recommend d=1 or d=2 differencing."))
-    return out.withColumn("recommendation", advice)
+    tests = together(df, spec, {"adf": ADF, "kpss": KPSS})
+    return tests.select(*spec.keys, F.struct(*verdict_columns("adf", "kpss")).alias("_v")).select(*spec.keys, "_v.*")
+
+
+def verdict_columns(adf: str, kpss: str) -> list[Column]:
+    """Columns of the joint verdict from the structures of both tests."""
+    flags = [F.col(f"{test}.is_stationary") for test in (adf, kpss)]
+    passed = sum((F.coalesce(flag, F.lit(False)).cast("int") for flag in flags), F.lit(0))
+    advice = F.when(passed >= 1, F.lit("Series may be stationary. Consider d=0 or d=1 for ARIMA.")).otherwise(
+        F.lit("Series is non-stationary. Recommend d=1 or d=2 differencing.")
+    )
+    results = [
+        F.col(f"{test}.{source}").alias(f"{test}_{name}")
+        for test in (adf, kpss)
+        for name, source in (("stat", f"{test}_stat"), ("p", "p_value"), ("stationary", "is_stationary"))
+    ]
+    return [
+        *results, passed.alias("passed"), (passed >= 1).alias("is_stationary"),
+        ladder(passed, ((1.5, "high"), (0.5, "moderate")), "low").alias("confidence"), advice.alias("recommendation"),
+    ]

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators import evaluate, explain, insights, ml, model_set
+from tidemill.operators import evaluate, explain, insights, ml, model_set, parts
 from tidemill.operators import features as ft
 from tidemill.plans import feature_queries as fq
 from tidemill.plans import model_queries as mq
@@ -272,6 +272,16 @@ def f0(x: str) -> str:
     return r(x, digits=0)
 
 
+def text_sql(template: str, *values: str) -> str:
+    """The template filled in by printf."""
+    quoted = template.replace("'", "''")
+    return f"printf({', '.join([f"'{quoted}'", *values])})"
+
+
+def said(name: str, *values: str) -> str:
+    return text_sql(insights.TEXTS[name], *values)
+
+
 def rules_sql(source: str, rules: list[tuple[str, str]]) -> str:
     """UNION ALL of the rules whose text is not null."""
     parts = [
@@ -283,23 +293,24 @@ def rules_sql(source: str, rules: list[tuple[str, str]]) -> str:
 
 @query(
     "insight_summary",
-    f"""{GF} SELECT segment, printf('From %.2fM to %.2fM a month, a ', {r('first', digits=2)}, {r('latest', digits=2)})
-        || format('{{:,}}', CAST({f0('(latest - first) / first * 100')} AS BIGINT)) || '% change over ' || n || ' months. '
-        || printf('Current trajectory: ~%.0f%% CAGR with Month-over-Month growth of %.1f%%', {f0('cagr')}, {r('mom', digits=1)}) AS summary FROM fa""",
+    f"""{GF} SELECT segment, {said('summary', r('first', digits=2), r('latest', digits=2), f0('(latest - first) / first * 100'), 'n', f0('cagr'), r('mom', digits=1))}
+        AS summary FROM fa""",
 )
 def insight_summary(spark, folder):
     return insights.insight_summary(series(spark, folder), SEG)
 
 
 ACCEL = "(rh - eh) / NULLIF(eh, 0) * 100"
+PACE = f"CASE WHEN {ACCEL} > 25 THEN 'much faster' WHEN {ACCEL} > 10 THEN 'faster' WHEN {ACCEL} < -5 THEN 'slower' ELSE '' END"
+PHASE = f"CASE {' '.join(f"WHEN avg_yoy > {limit} THEN '{word}'" for limit, word in insights.PHASES)} ELSE '{insights.SLOW}' END"
 
 
 @query(
     "insight_trends",
     f"""{GF} {rules_sql('fa', [
-        ('phase', f"CASE WHEN avg_yoy > 100 THEN printf('Explosive adoption: growing at %.0f%% YoY on average', {f0('avg_yoy')}) WHEN avg_yoy > 50 THEN printf('Hypergrowth phase: sustained %.0f%% year-over-year expansion', {f0('avg_yoy')}) WHEN avg_yoy > 20 THEN printf('Strong momentum: consistent %.0f%% YoY growth', {f0('avg_yoy')}) ELSE printf('Maturing market: %.0f%% YoY growth indicates steady expansion', {f0('avg_yoy')}) END"),
-        ('acceleration', f"CASE WHEN {ACCEL} > 25 THEN printf('Acceleration detected: last 6 months %.0f%% above the prior period', {f0(ACCEL)}) WHEN {ACCEL} > 10 THEN printf('Growth is picking up: %.0f%% improvement', {f0(ACCEL)}) WHEN {ACCEL} < -5 THEN printf('Slowing growth: %.0f%% deceleration', {f0(f'ABS({ACCEL})')}) END"),
-        ('peak', "CASE WHEN latest > maxy * 0.95 THEN 'Near all-time high' END")])}""",
+        ('phase', f"CASE WHEN avg_yoy IS NOT NULL THEN {said('phase', f0('avg_yoy'), PHASE)} END"),
+        ('acceleration', f"CASE WHEN {PACE} <> '' THEN {said('pace', f0(ACCEL), PACE)} END"),
+        ('peak', f"CASE WHEN latest > maxy * 0.95 THEN {said('near_peak')} END")])}""",
 )
 def insight_trends(spark, folder):
     return insights.insight_trends(series(spark, folder), SEG)
@@ -310,10 +321,10 @@ def insight_trends(spark, folder):
     f"""{GF}, fs AS (SELECT fa.*, hm, hv / mean AS hf, lm, lo / mean AS lf, fm / mean AS ff, strftime(make_date(2000, hm, 1), '%B') AS hn,
                strftime(make_date(2000, lm, 1), '%B') AS ln FROM fa JOIN mx USING (segment))
         {rules_sql('fs', [
-            ('peak', f"CASE WHEN hf > 1.15 THEN 'Festive surge: ' || hn || printf(' shows %.0f%% above average', {f0('(hf - 1) * 100')}) ELSE 'Peak activity in ' || hn END"),
-            ('low', f"CASE WHEN lf < 0.85 THEN 'Low season: ' || ln || printf(' sees %.0f%% below average', {f0('(1 - lf) * 100')}) END"),
-            ('q4', f"CASE WHEN ff > 1.1 THEN printf('Q4 effect: Oct-Dec shows %.0f%% festive boost', {f0('(ff - 1) * 100')}) END"),
-            ('q1', "CASE WHEN q1m < mean * 0.95 THEN 'Post-festive dip: Q1 below average' END")])}""",
+            ('peak', f"CASE WHEN hf > 1.15 THEN {said('high_month_far', 'hn', f0('(hf - 1) * 100'))} ELSE {said('high_month', 'hn')} END"),
+            ('low', f"CASE WHEN lf < 0.85 THEN {said('low_month_far', 'ln', f0('(1 - lf) * 100'))} END"),
+            ('q4', f"CASE WHEN ff > 1.1 THEN {said('last_quarter', f0('(ff - 1) * 100'))} END"),
+            ('q1', f"CASE WHEN q1m < mean * 0.95 THEN {said('first_quarter')} END")])}""",
 )
 def insight_seasonality(spark, folder):
     return insights.insight_seasonality(series(spark, folder), SEG)
@@ -325,8 +336,8 @@ GAP = "(worst_rmse - best_rmse) / best_rmse * 100"
 @query(
     "insight_models",
     f"""{ALL} {rules_sql('be', [
-        ('best', "best_model || ' leads'"),
-        ('spread', f"CASE WHEN worst_model <> best_model THEN CASE WHEN {GAP} > 50 THEN printf('Significant model gap: %.0f%% RMSE difference', {f0(GAP)}) ELSE printf('Models are consistent: %.0f%% spread', {f0(GAP)}) END END")])}""",
+        ('best', said('best', 'best_model')),
+        ('spread', f"CASE WHEN worst_model <> best_model THEN {said('gap', f0(GAP), f"CASE WHEN {GAP} > 50 THEN 'far apart' ELSE 'close together' END")} END")])}""",
 )
 def insight_models(spark, folder):
     return insights.insight_models(mq.backtest_metrics(spark, folder), SEG)
@@ -335,20 +346,22 @@ def insight_models(spark, folder):
 SURGE = "(fm / latest - 1) * 100"
 
 
-def alert_sql(cond: str, kind: str, title: str, text: str, confidence: str, action: str) -> str:
-    return f"SELECT segment, '{kind}' AS type, '{title}' AS title, {text} AS description, '{confidence}' AS confidence, {action} AS action FROM al WHERE {cond}"
+def alert_sql(cond: str, kind: str, *values: str) -> str:
+    title, text, confidence, action = insights.ALERTS[kind]
+    acts = text_sql(action, *values) if "%" in action else f"'{action}'"
+    return f"SELECT segment, '{kind}' AS type, '{title}' AS title, {text_sql(text, *values)} AS description, '{confidence}' AS confidence, {acts} AS action FROM al WHERE {cond}"
 
 
 @query(
     "insight_alerts",
     f"{ALL}, al AS (SELECT fa.*, next_mean, next_std, models, month(CAST(last_date + INTERVAL 1 MONTH AS DATE)) AS nm FROM fa JOIN nx USING (segment)) "
     + " UNION ALL ".join([
-        alert_sql("yoy > avg_yoy * 1.2", "acceleration", "Growth Acceleration Detected", f"printf('Growing %.0f%% faster than historical average', {f0('(yoy / avg_yoy - 1) * 100')})", "high", "'Prepare for higher volumes than trend projections'"),
-        alert_sql("yoy < avg_yoy * 0.8 AND NOT yoy > avg_yoy * 1.2", "deceleration", "Growth Normalization", f"printf('YoY growth at %.0f%% is below the %.0f%% historical average', {f0('yoy')}, {f0('avg_yoy')})", "medium", "'Consider revised growth projections for next quarter'"),
-        alert_sql("models >= 2 AND next_std > latest * 0.15", "divergence", "Model Divergence Detected", f"printf('Models disagree on near-term outlook (std: %.1fM)', {r('next_std', digits=1)})", "medium", "'Use ensemble forecast for more reliable predictions'"),
-        alert_sql("models >= 2 AND NOT next_std > latest * 0.15", "consensus", "High Model Consensus", f"printf('All models align on ~%.0fM for next month', {f0('next_mean')})", "high", "'High confidence in near-term forecast accuracy'"),
-        alert_sql("nm IN (10, 11, 12)", "seasonal", "Festive Season Incoming", f"printf('Expected %.0f%% volume boost in upcoming festive period', {f0(SURGE)})", "high", f"printf('Scale infrastructure for %.0f%% surge', {f0(SURGE)})"),
-        alert_sql("vol > 0.15", "volatility", "Increased Volatility", f"printf('Monthly volatility at %.1f%%', {r('vol * 100', digits=1)})", "medium", "'Widen confidence intervals for forecast uncertainty'"),
+        alert_sql("yoy > avg_yoy * 1.2", "acceleration", f0("(yoy / avg_yoy - 1) * 100")),
+        alert_sql("yoy < avg_yoy * 0.8 AND NOT yoy > avg_yoy * 1.2", "deceleration", f0("yoy"), f0("avg_yoy")),
+        alert_sql("models >= 2 AND next_std > latest * 0.15", "divergence", r("next_std", digits=1)),
+        alert_sql("models >= 2 AND NOT next_std > latest * 0.15", "consensus", f0("next_mean")),
+        alert_sql("nm IN (10, 11, 12)", "seasonal", f0(SURGE)),
+        alert_sql("vol > 0.15", "volatility", r("vol * 100", digits=1)),
     ]),
 )
 def insight_alerts(spark, folder):
@@ -362,8 +375,7 @@ def insight_alerts(spark, folder):
         SELECT segment, {rs('first_value=first', 'latest_value=latest', 'growth_factor=latest / first', 'window_growth_pct=(w1 - w0) / w0 * 100',
             'last_year_growth_pct=COALESCE((latest - year_ago) / year_ago * 100, 0)')}, printf('%.0fM', {f0('nextv')}) AS next_prediction,
             CASE WHEN best_rmse < 5 THEN 'high' WHEN best_rmse < 10 THEN 'medium' ELSE 'low' END AS confidence_level,
-            printf('From %.2fM a month the series has grown %.1fx to %.2fM. The models predict %.2fM next month.', {r('first', digits=2)},
-                   {r('latest / first', digits=1)}, {r('latest', digits=2)}, {r('nextv', digits=2)}) AS story
+            {said('story', r('first', digits=2), r('latest', digits=2), r('latest / first', digits=1))} || {said('story_next', r('nextv', digits=2))} AS story
         FROM fa JOIN bn USING (segment) LEFT JOIN ww USING (segment)""",
 )
 def insight_narrative(spark, folder):
@@ -375,8 +387,8 @@ def insight_narrative(spark, folder):
 @query(
     "insight_recommendations",
     f"""{GF} {rules_sql('fa', [
-        ('scaling', "CASE WHEN yoy > 50 THEN 'Infrastructure scaling: Prepare for 50%+ YoY growth' END"),
-        ('volume', "CASE WHEN latest > mean * 2 THEN 'Volume alert: current load is 2x historical average' END"),
+        ('scaling', f"CASE WHEN yoy > 50 THEN {said('growth_high')} END"),
+        ('volume', f"CASE WHEN latest > mean * 2 THEN {said('level_high')} END"),
         *[(f'standing_{k}', f"'{t}'") for k, t in enumerate(insights.STANDING_ADVICE, 1)]])}""",
 )
 def insight_recommendations(spark, folder):
@@ -388,10 +400,10 @@ def insight_recommendations(spark, folder):
     f"""{ALL}, rr AS (SELECT fa.segment, COALESCE(fa.yoy, 0) AS yoy, best_model, (nov / mean - 1) * 100 AS fb,
                AVG(d) FILTER (age <= 6) AS rd, AVG(d) FILTER (age > 6 AND age <= 12) AS ed
                FROM fa JOIN be USING (segment) JOIN fi USING (segment) JOIN (SELECT segment, v AS nov FROM mo WHERE m = 11) USING (segment) GROUP BY ALL)
-        SELECT segment, 'high' AS priority, 'growth' AS category, 'Consider aggressive infrastructure scaling given explosive growth trajectory' AS recommendation FROM rr WHERE yoy > 50
-        UNION ALL SELECT segment, 'high', 'capacity', printf('Prepare for %.0f%% festive season spike in Q4', {f0('fb')}) FROM rr WHERE fb > 10
-        UNION ALL SELECT segment, 'medium', 'planning', 'Momentum is increasing - plan for sustained growth' FROM rr WHERE rd > ed
-        UNION ALL SELECT segment, 'info', 'modeling', 'Best performing model: ' || best_model FROM rr""",
+        SELECT segment, 'high' AS priority, 'growth' AS category, {said('growth_high')} AS recommendation FROM rr WHERE yoy > 50
+        UNION ALL SELECT segment, 'high', 'capacity', {said('november', f0('fb'))} FROM rr WHERE fb > 10
+        UNION ALL SELECT segment, 'medium', 'planning', {said('steps_grow')} FROM rr WHERE rd > ed
+        UNION ALL SELECT segment, 'info', 'modeling', {said('best', 'best_model')} FROM rr""",
 )
 def recommendations_by_priority(spark, folder):
     return insights.recommendations_by_priority(series(spark, folder), mq.backtest_metrics(spark, folder), SEG)
@@ -401,11 +413,11 @@ def recommendations_by_priority(spark, folder):
     "forecast_explanation",
     f"""{ALL}, ex AS (SELECT fa.*, bn.*, next_std, mo.v / mx.mv AS sf FROM fa JOIN bn ON bn.segment = fa.segment JOIN nx ON nx.segment = fa.segment
                JOIN mx ON mx.segment = fa.segment JOIN mo ON mo.segment = fa.segment AND mo.m = month(last_date))
-        SELECT segment, CASE WHEN rstep > 2 THEN 'accelerating upward' WHEN rstep > 0 THEN 'gradually increasing' ELSE 'showing slight decline' END AS trend,
+        SELECT segment, CASE WHEN rstep > 2 THEN 'rising fast' WHEN rstep > 0 THEN 'rising' ELSE 'not rising' END AS trend,
           CASE WHEN rstep > 2 THEN 'high' WHEN rstep > 0 THEN 'moderate' ELSE 'low' END AS trend_confidence,
-          CASE WHEN sf > 1.1 THEN 'strong seasonal pattern (festive/peak period)' WHEN sf < 0.9 THEN 'below average seasonality' ELSE 'normal seasonal patterns' END AS seasonality,
-          CASE WHEN best_rmse < 5 THEN 'Low prediction error indicates high reliability' WHEN best_rmse < 10 THEN 'Moderate prediction error suggests reasonable confidence'
-               ELSE 'Higher uncertainty due to model limitations' END || CASE WHEN next_std > latest * 0.1 THEN '. High model divergence detected - consider ensemble.' ELSE '' END AS confidence_reason,
+          CASE WHEN sf > 1.1 THEN 'above the mean of the year' WHEN sf < 0.9 THEN 'below the mean of the year' ELSE 'near the mean of the year' END AS seasonality,
+          CASE WHEN best_rmse < 5 THEN 'RMSE under 5' WHEN best_rmse < 10 THEN 'RMSE under 10'
+               ELSE 'RMSE of 10 or more, or none' END || CASE WHEN next_std > latest * 0.1 THEN '; models far apart' ELSE '' END AS confidence_reason,
           CASE WHEN next_std > latest * 0.1 THEN 'medium' WHEN best_rmse < 5 THEN 'low' WHEN best_rmse < 10 THEN 'medium' ELSE 'high' END AS risk_flag,
           best_model, {rs('seasonal_factor=sf', 'best_model_rmse=best_rmse', 'latest_value=latest', 'predicted_next=nextv')} FROM ex""",
 )
@@ -421,8 +433,8 @@ def forecast_explanation(spark, folder):
           strftime(last_date, '%Y-%m') AS current_volume_date, strftime(first_date, '%Y-%m') AS start, n AS total_records FROM fa JOIN bn USING (segment)""",
 )
 def dashboard_kpis(spark, folder):
-    df = series(spark, folder)
-    return insights.dashboard_kpis(df, mq.backtest_metrics(spark, folder), mq.averages(df), SEG)
+    df = parts.written(series(spark, folder), SEG)
+    return insights.dashboard_kpis(df, evaluate.regression_metrics(mq.backtest_of(df), SEG), mq.averages(df), SEG)
 
 
 @query("auto_insights")
@@ -432,8 +444,9 @@ def auto_insights(spark, folder):
 
 @query("executive_findings")
 def executive_findings(spark, folder):
-    found = insights.auto_insights(series(spark, folder), SEG)
-    return insights.executive_findings(found, mq.backtest_metrics(spark, folder), SEG)
+    df = parts.written(series(spark, folder), SEG)
+    metrics = evaluate.regression_metrics(mq.backtest_of(df), SEG)
+    return insights.executive_findings(insights.auto_insights(df, SEG), metrics, SEG)
 
 
 @query("eda_report")

@@ -24,21 +24,21 @@ def series(spark, folder) -> DataFrame:
 
 def averages(df: DataFrame, spec=SEG, horizon: int = 12) -> DataFrame:
     """Moving-average forecasts with three window lengths, as three models."""
-    out = None
-    for w in WINDOWS:
-        one = forecast.forecast_moving_average(df, spec, w, horizon, f"ma_{w}")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return forecast.forecast_moving_averages(df, spec, WINDOWS, horizon)
 
 
-def backtest(spark, folder) -> DataFrame:
+def backtest_of(df: DataFrame) -> DataFrame:
     """Forecasts of the last year from the rows before it, with the values that came true."""
-    marked = prepare.split_last_n(series(spark, folder), SEG, TEST)
+    marked = prepare.split_last_n(df, SEG, TEST)
     train = marked.where(F.col("split") == "train").drop("split")
     test = marked.where(F.col("split") == "test").select("segment", "date", "y")
     return averages(train).join(test, ["segment", "date"])
 
 
+def backtest(spark, folder) -> DataFrame:
+    return backtest_of(series(spark, folder))
+
+
 def one_step(spark, folder) -> DataFrame:
     return forecast.one_step_average(series(spark, folder), SEG, WINDOWS)
 
