@@ -128,6 +128,27 @@ def test_tables_nested_and_left_open(spark):
     assert got._jdf.queryExecution().executedPlan().toString().split("\n\n")[0].count("regexp_extract_all") <= 3
 
 
+def test_rows_of_nested_tables_stay_apart(spark):
+    cells = "<tr><td>{}</td><td>{}</td></tr>"
+    inner = "<table><tr><th>Month</th></tr>" + cells.format("in", 1) + "</table>"
+    pages = {
+        1: "<table><tr><th>name</th></tr>" + cells.format("a", 1) + "<tr><td>x" + inner + "y</td><td>2</td></tr>" + cells.format("b", 3) + "</table>" + inner,
+        2: "<table><tr><th>volume</th></tr>" + cells.format("a", "1 < 2 <b>3</b>") + "<table>" + cells.format("c", 4),
+        3: "<TABLE><TR><TH>Month<TD>v<TR><TD> p\n\t q <TD>&lt;5&gt;</TBODY><TR><TD>r<TD>6</TABLE>",
+        4: "<table></table>",
+        5: "",
+    }
+    df = spark.createDataFrame(list(pages.items()), "page_id long, html string")
+    tables = df.select("page_id", html._tables(df.html).alias("t")).orderBy("page_id")
+    assert [len(r.t or []) for r in tables.collect()] == [3, 2, 1, 1, 0]
+    rows = [[list(c) for c in r.r] for r in tables.where("page_id <= 3").select(html._rows(F.col("t")[0]).alias("r")).collect()]
+    assert rows[0] == [["name"], ["a", "1"], ["xy", "2"], ["b", "3"]]
+    assert rows[1] == [["volume"], ["a", "1 < 2 3"]]
+    assert rows[2] == [["Month", "v"], ["p q", "<5>"], ["r", "6"]]
+    got = sorted((r.page_id, r.row_no, r.cells) for r in html.matching_table_rows(df).collect())
+    assert got == [(1, 0, ["in", "1"]), (2, 0, ["a", "1 < 2 3"]), (3, 0, ["p q", "<5>"]), (3, 1, ["r", "6"])]
+
+
 def test_dedupe_ties_and_missing_order(spark, spec):
     import datetime as dt
 

@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemill.functions.columns import dbl
+from tidemill.functions.columns import dbl, let
 
 # Month abbreviations.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -43,11 +43,13 @@ def _float(text: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """Figure in millions: separators dropped, M / B / K / Cr suffixes applied, null if unreadable."""
-    bare = F.regexp_replace(text, "[, ]", "")
-    tries = []
-    for suffix, factor in SUFFIX_TO_MILLIONS:
-        tries.append(F.when(bare.contains(suffix), _float(F.replace(bare, F.lit(suffix), F.lit(""))) * dbl(factor)))
-    return F.coalesce(*tries, _float(bare))
+    def read(bare: Column) -> Column:
+        tries = []
+        for suffix, factor in SUFFIX_TO_MILLIONS:
+            tries.append(F.when(bare.contains(suffix), _float(F.replace(bare, F.lit(suffix), F.lit(""))) * dbl(factor)))
+        return F.coalesce(*tries, _float(bare))
+
+    return let(F.translate(text, ", ", ""), read)
 
 
 def coerce_numeric(text: Column) -> Column:
@@ -55,9 +57,15 @@ def coerce_numeric(text: Column) -> Column:
     return _float(F.regexp_replace(text.cast("string"), "[, ]", ""))
 
 
-def strip_tags(html: Column) -> Column:
-    """Text of an HTML fragment: tags removed, common entities decoded, trimmed."""
-    out = F.regexp_replace(html, r"(?s)<[^>]*>", "")
+def plain_text(text: Column) -> Column:
+    """Common entities decoded, white space collapsed and trimmed."""
+    out = text
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    # single spaces, nearly all white space, need no change
+    return F.trim(F.regexp_replace(out, r"\s{2,}|[\t\n\x0B\f\r]", " "))
+
+
+def strip_tags(html: Column) -> Column:
+    """Text of an HTML fragment: tags removed, common entities decoded, trimmed."""
+    return plain_text(F.regexp_replace(html, r"(?s)<[^>]*>", ""))
