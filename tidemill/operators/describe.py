@@ -128,23 +128,34 @@ def distribution_stats(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return DISTRIBUTION.finish(df.groupBy(*spec.keys).agg(*DISTRIBUTION.aggs(spec)), spec)
 
 
-def skewness_text(s: Column) -> Column:
-    steps = (
+# Labels given as results, each above its limit, and the label below all limits.
+SKEWNESS = (
+    (
         (1.0, "Highly right-skewed (positive skew)"),
         (0.5, "Moderately right-skewed"),
         (-0.5, "Approximately symmetric"),
         (-1.0, "Moderately left-skewed"),
-    )
-    return ladder(s, steps, "Highly left-skewed (negative skew)")
-
-
-def kurtosis_text(k: Column) -> Column:
-    steps = (
+    ),
+    "Highly left-skewed (negative skew)",
+)
+KURTOSIS = (
+    (
         (3.0, "Heavy-tailed (leptokurtic) - more outliers than normal"),
         (0.0, "Slightly heavy-tailed"),
         (-3.0, "Approximately normal tail weight"),
-    )
-    return ladder(k, steps, "Light-tailed (platykurtic) - fewer outliers than normal")
+    ),
+    "Light-tailed (platykurtic) - fewer outliers than normal",
+)
+PACES = ((5.0, "explosive"), (2.0, "strong"), (0.5, "moderate")), "slow"
+STRENGTHS = ((0.6, "strong"), (0.3, "moderate"), (0.1, "weak")), "negligible"
+
+
+def skewness_text(s: Column) -> Column:
+    return ladder(s, *SKEWNESS)
+
+
+def kurtosis_text(k: Column) -> Column:
+    return ladder(k, *KURTOSIS)
 
 
 def _shape_aggs(spec: SeriesSpec) -> list[Column]:
@@ -389,7 +400,7 @@ def _trend_reading(fits: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
     pace = ladder(
         div(F.col("linear_slope"), F.col("mean")) * dbl(100.0),
-        ((5.0, "explosive"), (2.0, "strong"), (0.5, "moderate")), "slow",
+        *PACES,
     )
     out = out.withColumn("trend_type", kind)
     text = F.concat(
@@ -459,7 +470,7 @@ def season(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
     strength = div(F.col("_between"), F.col("_total"))
     label = F.when(F.col("_total") == 0, F.lit("none")).otherwise(
-        ladder(strength, ((0.6, "strong"), (0.3, "moderate"), (0.1, "weak")), "negligible")
+        ladder(strength, *STRENGTHS)
     )
     peaks = F.transform(F.filter("months", lambda m: m["is_peak"]), lambda m: m["month"].cast("string"))
     return out.select(

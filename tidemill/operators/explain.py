@@ -93,6 +93,21 @@ def _named(features: Column, words: Sequence[str], n: int) -> Column:
     return F.array_join(F.slice(F.filter(features, match), 1, n), ", ")
 
 
+# Sentences that explanations give as results.
+SENTENCES = {
+    "lag": "Past values significantly influence predictions. Key lags: ",
+    "rolling": "Moving averages are important for predictions. Key windows: ",
+    "growth": "Growth rates are predictive of future values. Features: ",
+    "temporal": "Seasonality plays a role in predictions. Calendar features help capture periodic patterns.",
+    "general": "Multiple features contribute to predictions. Top feature: ",
+    "factors": "Key factors: ",
+    "lead": "The most important feature is '%s' with %.1f%% relative importance.",
+    "lag_sum": "Lag features contribute %.4f to the model.",
+    "rolling_sum": "Rolling statistics contribute %.4f.",
+    "temporal_sum": "Seasonal/temporal patterns contribute %.4f.",
+}
+
+
 def explain_text(importance: DataFrame, by: Sequence[str], top_n: int = 5) -> DataFrame:
     """Sentences on lags, rolling windows, growth and season among the top features."""
     top = importance_ranked(importance, by).where(F.col("rank") <= top_n)
@@ -107,17 +122,17 @@ def explain_text(importance: DataFrame, by: Sequence[str], top_n: int = 5) -> Da
 
     temporal = F.when(
         _named(f, ("month", "sin", "cos"), 1) != "",
-        F.lit("Seasonality plays a role in predictions. Calendar features help capture periodic patterns."),
+        F.lit(SENTENCES["temporal"]),
     )
     parts = {
-        "lag_importance": sentence(("lag",), 3, "Past values significantly influence predictions. Key lags: "),
-        "rolling_importance": sentence(("rolling",), 2, "Moving averages are important for predictions. Key windows: "),
-        "growth_importance": sentence(("growth",), 2, "Growth rates are predictive of future values. Features: "),
+        "lag_importance": sentence(("lag",), 3, SENTENCES["lag"]),
+        "rolling_importance": sentence(("rolling",), 2, SENTENCES["rolling"]),
+        "growth_importance": sentence(("growth",), 2, SENTENCES["growth"]),
         "temporal_importance": temporal,
     }
     out = listed.select(*by, "_f", *[c.alias(name) for name, c in parts.items()])
     none = F.coalesce(*[F.col(c) for c in parts]).isNull()
-    general = F.concat(F.lit("Multiple features contribute to predictions. Top feature: "), F.get(F.col("_f"), F.lit(0)))
+    general = F.concat(F.lit(SENTENCES["general"]), F.get(F.col("_f"), F.lit(0)))
     return out.withColumn("general", F.when(none, general)).drop("_f")
 
 
@@ -130,7 +145,7 @@ def prediction_factors(values: DataFrame, importance: DataFrame, by: Sequence[st
     )
     parts = F.array_sort(F.collect_list(F.struct("rank", text.alias("text"))))
     joined = F.array_join(F.transform(parts, lambda s: s["text"]), "; ")
-    return rows.groupBy(*ids).agg(F.concat(F.lit("Key factors: "), joined).alias("explanation"))
+    return rows.groupBy(*ids).agg(F.concat(F.lit(SENTENCES["factors"]), joined).alias("explanation"))
 
 
 def interpretability_report(importance: DataFrame, by: Sequence[str], top_n: int = 10) -> DataFrame:
@@ -154,10 +169,10 @@ def interpretability_report(importance: DataFrame, by: Sequence[str], top_n: int
     summary = F.concat_ws(
         " ",
         F.format_string(
-            "The most important feature is '%s' with %.1f%% relative importance.", lead["feature"], stable_round(lead["importance_pct"], 1)
+            SENTENCES["lead"], lead["feature"], stable_round(lead["importance_pct"], 1)
         ),
-        line("lag", "Lag features contribute %.4f to the model."),
-        line("rolling", "Rolling statistics contribute %.4f."),
-        line("temporal", "Seasonal/temporal patterns contribute %.4f."),
+        line("lag", SENTENCES["lag_sum"]),
+        line("rolling", SENTENCES["rolling_sum"]),
+        line("temporal", SENTENCES["temporal_sum"]),
     )
     return report.withColumn("summary", summary)

@@ -102,6 +102,17 @@ def pacf(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> DataFrame:
     return by_lag(pacf_arrays(df, spec, nlags), spec, "pacf")
 
 
+# Readings of autocorrelations given as results.
+READINGS = {
+    "annual": "Strong annual seasonality detected (ACF at lag 12)",
+    "half": "Moderate semi-annual pattern detected",
+    "short": "Short memory - recent values have little influence on future",
+    "long": "Long memory - high persistence in the series",
+    "ar_strong": "Strong AR(1) component suggested",
+    "ar_moderate": "Moderate AR(1) component suggested",
+}
+
+
 def acf_interpretation(df: DataFrame, spec: SeriesSpec, nlags: int = 24) -> DataFrame:
     """Seasonality, memory and AR hints, decay, and the first significant lags."""
     return _acf_reading(acf_arrays(df, spec, nlags), spec, nlags)
@@ -113,14 +124,14 @@ def _acf_reading(arrays: DataFrame, spec: SeriesSpec, nlags: int) -> DataFrame:
     limit = band(F.col("n"))
     significant = F.filter(F.sequence(F.lit(1), F.lit(nlags)), lambda k: F.abs(F.get(a, k)) > limit)
     seasonality = F.when(
-        F.abs(a[12]) > 0.5, F.lit("Strong annual seasonality detected (ACF at lag 12)")
-    ).when(F.abs(a[6]) > 0.5, F.lit("Moderate semi-annual pattern detected"))
+        F.abs(a[12]) > 0.5, F.lit(READINGS["annual"])
+    ).when(F.abs(a[6]) > 0.5, F.lit(READINGS["half"]))
     memory = F.when(
         F.forall(F.slice(a, 2, 12), lambda v: F.abs(v) < 0.3),
-        F.lit("Short memory - recent values have little influence on future"),
-    ).when(F.abs(a[1]) > 0.8, F.lit("Long memory - high persistence in the series"))
-    order = F.when(p[1] > 0.8, F.lit("Strong AR(1) component suggested")).when(
-        p[1] > 0.5, F.lit("Moderate AR(1) component suggested")
+        F.lit(READINGS["short"]),
+    ).when(F.abs(a[1]) > 0.8, F.lit(READINGS["long"]))
+    order = F.when(p[1] > 0.8, F.lit(READINGS["ar_strong"])).when(
+        p[1] > 0.5, F.lit(READINGS["ar_moderate"])
     )
     return rows.select(
         *spec.keys,
