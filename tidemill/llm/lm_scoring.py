@@ -49,9 +49,13 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of each token, bounds, and the hashes of the distinct tokens."""
+    """Number of each token, bounds, and the hashes of the distinct tokens, ascending: the order of the texts leaves no trace in them."""
     numbers, bounds, distinct = words.numbered(words.lower_ascii(texts), END)
-    return numbers, bounds, words.hashes_of(distinct)
+    hashes = words.hashes_of(distinct)
+    order = np.argsort(hashes)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    return rank[numbers], bounds, hashes[order]
 
 
 def bigrams(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
