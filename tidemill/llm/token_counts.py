@@ -28,7 +28,8 @@ OUT = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
 
 def frequencies(texts: list[bytes], special: tuple[str, ...], model: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pre-tokens; (text, pre-token, frequency) triples in text order; special strings per text."""
+    """Distinct pre-tokens, sorted, so that the order of the texts leaves no trace in them; (text, pre-token, frequency) triples in text order;
+    special strings per text."""
     common, uncommon, known = regex.compile(PATTERN).findall, regex.compile(UNCOMMON).search, {}
     cut = regex.compile("|".join(map(regex.escape, special))) if special else None
     rows, columns, counts = [], [], []
@@ -46,7 +47,10 @@ def frequencies(texts: list[bytes], special: tuple[str, ...], model: str) -> tup
         rows.append(len(found))
         columns.extend(known.setdefault(p, len(known)) for p in found)
         counts.extend(found.values())
-    return list(known), np.array(rows, np.int64), np.array(columns, np.int64), np.array(counts, np.int64), extra
+    distinct = sorted(known)
+    rank = np.empty(len(distinct), np.int64)
+    rank[[known[p] for p in distinct]] = np.arange(len(distinct))
+    return distinct, np.array(rows, np.int64), rank[np.array(columns, np.int64)], np.array(counts, np.int64), extra
 
 
 @cache
