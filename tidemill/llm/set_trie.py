@@ -115,33 +115,32 @@ class Groups:
         return i != j
 
 
+def group_of(node: int, trie: SetTrie, groups: Groups, one_group: list[int]) -> int:
+    """The group of all sets of a subtree, else -1; of subtrees below only those noted in ``one_group`` and single nodes count."""
+    if one_group[node] >= 0:
+        return groups.find(one_group[node])
+    found = -1
+    for s in trie.leaves[node]:
+        g = groups.find(s)
+        if found not in (-1, g):
+            return -1
+        found = g
+    for c in trie.children[node]:
+        g = group_of(c, trie, groups, one_group) if one_group[c] >= 0 or not trie.children[c] else -1
+        if g == -1 or found not in (-1, g):
+            return -1
+        found = g
+    one_group[node] = found
+    return found
+
+
 def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect exactly the sets connected by similar pairs; subtrees of one's own group are left out."""
+    """Links that connect exactly the sets connected by similar pairs; subtrees of one's own group are left out.
+
+    Functions that call each other stand outside, as a closure would keep the tree in memory until Python looks for cycles.
+    """
     trie, groups, links = SetTrie(sets), Groups(len(sets)), []
     one_group = [-1] * len(trie.tokens)  # a set of the subtree, once all its sets are in one group
-
-    def group_of(node: int) -> int:
-        if one_group[node] >= 0:
-            return groups.find(one_group[node])
-        found = -1
-        for s in trie.leaves[node]:
-            g = groups.find(s)
-            if found not in (-1, g):
-                return -1
-            found = g
-        for c in trie.children[node]:
-            g = group_of_flat(c)
-            if g == -1 or found not in (-1, g):
-                return -1
-            found = g
-        one_group[node] = found
-        return found
-
-    def group_of_flat(node: int) -> int:
-        if one_group[node] >= 0:
-            return groups.find(one_group[node])
-        return group_of(node) if not trie.children[node] else -1
-
     bottom_up = trie._bottom_up()
     width = max((int(s[-1]) for s in sets if len(s)), default=0) + 1
     mask = np.zeros(width, bool)
@@ -149,10 +148,10 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     for i, x in enumerate(sets):
         if fresh > len(bottom_up) // 4:  # after many unions, note which subtrees have become one group
             for node in bottom_up:
-                group_of(node)
+                group_of(node, trie, groups, one_group)
             fresh = 0
         mask[x] = True
-        for j in trie.linked(x, percent, mask, lambda node, i=i: group_of(node) == groups.find(i)):
+        for j in trie.linked(x, percent, mask, lambda node, i=i: group_of(node, trie, groups, one_group) == groups.find(i)):
             if groups.join(i, j):
                 links.append((i, j))
                 fresh += 1

@@ -39,6 +39,7 @@ def numbered(texts: list[bytes], end: bytes | None = None) -> tuple[np.ndarray,
     parts = [np.array([*map(number, t.split()), *tail], dtype=np.int32) for t in texts]
     bounds = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(p) for p in parts], out=bounds[1:])
+    known.default_factory = None  # it refers to the dict: all words would stay until Python looks for cycles
     return (np.concatenate(parts) if parts else np.empty(0, np.int32)), bounds, list(known)
 
 
